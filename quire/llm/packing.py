@@ -14,7 +14,6 @@ repeated rows are packed each for itself; an empty table gives no rows; extra co
 
 from __future__ import annotations
 
-import base64  # noqa: F401  kept for vocabularies given as ranks
 import json
 import zlib
 from collections.abc import Iterator

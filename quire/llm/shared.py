@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,13 @@ def lower_ascii(col: Column) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
-    """Bound the Arrow batches that Python workers get, in rows and bytes, unless the session sets less."""
+    """Bound the Arrow batches that Python workers get, in rows and bytes, unless the session sets less.
+
+    Also lets workers find this package where the driver found it.
+    """
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         try:
             now = int(spark.conf.get(key))
