@@ -32,14 +32,18 @@ from pyspark.sql import Window as W
 from .shared import discard, materialize, small_batches, table
 
 TOP = 10
-NEIGHBOURS = 20
-TREES = 6
-BLOCK = 96
-ROUNDS = 3
+NEIGHBOURS = 32
+TREES = 8
+BLOCK = 128
+#: Neighbours that a node takes from its block of one order.
+FROM_BLOCK = 12
+#: Rounds end early when less than CALM of the edges are new.
+ROUNDS = 7
+CALM = 0.01
 #: Of the neighbours that a node introduces to one of them, so many go on (the nearest).
-INTRODUCED = 4
-BEAM = 96
-EXPAND = 16
+INTRODUCED = 10
+BEAM = 256
+EXPAND = 24
 ENTRIES = 16
 STEPS = 16
 
@@ -85,26 +89,32 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield rest
 
 
-def sketched(nodes: DataFrame, trees: int = TREES) -> DataFrame:
-    """(node, h, codes): the vector in half precision, scaled, and a projection code for each order."""
-    top = nodes.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("top"), F.count(F.lit(1)).alias("n")).first()
-    mean = nodes.orderBy(F.xxhash64("node")).limit(1000).select("v").collect()  # a fixed number of vectors
-    centre = np.array([r.v for r in mean]).mean(0) if mean else np.zeros(1)
-    scale = 1.0 / (top.top or 1.0)
-    bits = int(min(62, max(8, np.ceil(np.log2(max(2, top.n))) + 4)))
+class Sketch:
+    """Half-precision vectors, scaled, and projection codes for sorted orders."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(11).normal(size=(trees, bits, len(centre)))
-        weigh = 1 << np.arange(bits, dtype=np.int64)[::-1]
-        for batch in batches:
-            x = _matrix(batch.column("v"))
-            if not len(x):
-                continue
-            codes = np.stack([((x - centre) @ p.T > 0) @ weigh for p in planes], 1)
-            h = (x * scale).astype(np.float16)
-            yield pa.record_batch([batch.column("node"), pa.array([r.tobytes() for r in h], pa.binary()), pa.array(list(codes), pa.list_(pa.int64()))], ["node", "h", "codes"])
+    def __init__(self, nodes: DataFrame, trees: int = TREES) -> None:
+        top = nodes.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("top"), F.count(F.lit(1)).alias("n")).first()
+        some = nodes.orderBy(F.xxhash64("node"), "node").limit(1000).select("v").collect()  # a fixed number of vectors
+        self.centre = np.array([r.v for r in some]).mean(0) if some else np.zeros(1)
+        self.scale = 1.0 / (top.top or 1.0)
+        self.bits = int(min(62, max(8, np.ceil(np.log2(max(2, top.n))) + 4)))
+        self.trees = trees
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """(node, h, codes) of rows (node, v)."""
+        centre, scale, bits, trees = self.centre, self.scale, self.bits, self.trees
 
-    return nodes.select("node", "v").mapInArrow(run, "node long, h binary, codes array<long>")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            planes = np.random.default_rng(11).normal(size=(trees, bits, len(centre)))
+            weigh = 1 << np.arange(bits, dtype=np.int64)[::-1]
+            for batch in batches:
+                if batch.num_rows:
+                    x = _matrix(batch.column("v"))
+                    codes = np.stack([((x - centre) @ p.T > 0) @ weigh for p in planes], 1)
+                    h = (x * scale).astype(np.float16)
+                    yield pa.record_batch([batch.column("node"), pa.array([r.tobytes() for r in h], pa.binary()), pa.array(list(codes), pa.list_(pa.int64()))], ["node", "h", "codes"])
+
+        return rows.select("node", "v").mapInArrow(run, "node long, h binary, codes array<long>")
 
 
 _EDGES = "u long, v long, d float"
@@ -129,7 +139,7 @@ def first_graph(sketches: DataFrame, neighbours: int = NEIGHBOURS, block: int =
             x = _halves(batch.column("h"))
             u, v, d = [], [], []
             for at in np.array_split(np.arange(len(ids)), max(1, round(len(ids) / block))):
-                k = min(neighbours, len(at) - 1)
+                k = min(FROM_BLOCK, neighbours, len(at) - 1)
                 if k < 1:
                     continue
                 part = x[at]
@@ -186,10 +196,8 @@ def introduce(sketches: DataFrame, graph: DataFrame, neighbours: int = NEIGHBOUR
     return lively.mapInArrow(run, _EDGES)
 
 
-def build_graph(nodes: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(sketches: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
     """(u, v, d, new): about `neighbours` nearest of each node."""
-    small_batches(nodes.sparkSession, rows=BLOCK * 60, size=16 << 20)
-    sketches = materialize(sketched(nodes), "sketches")
     first = first_graph(sketches, neighbours).groupBy("u", "v").agg(F.min("d").alias("d"))
     graph = materialize(_nearest(first, neighbours).withColumn("new", F.lit(True)), "graph")
     for _ in range(rounds):
@@ -197,30 +205,46 @@ def build_graph(nodes: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = RO
         both = graph.withColumn("new", F.lit(False)).union(met).groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new"))
         old, graph = graph, materialize(_nearest(both, neighbours), "graph")
         discard(old)
+        if graph.agg(F.avg(F.col("new").cast("double"))).first()[0] < CALM:
+            break
     return graph
 
 
+def _near(pairs: DataFrame, sketches: DataFrame, queries: DataFrame) -> DataFrame:
+    """pairs (query_id, node) plus d, the distance in half precision, by which the walk is steered."""
+    full = pairs.join(sketches.select("node", "h"), "node").join(queries.select("query_id", F.col("h").alias("q")), "query_id").select("query_id", "node", "h", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = ((_halves(batch.column("h")) - _halves(batch.column("q"))) ** 2).sum(1)
+                yield pa.record_batch([batch.column("query_id"), batch.column("node"), pa.array(d.astype(np.float32))], ["query_id", "node", "d"])
+
+    return full.mapInArrow(run, "query_id long, node long, d float")
+
+
 def _measured(pairs: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """pairs (query_id, node) plus d, the Euclidean distance in double precision."""
+    """pairs (query_id, node) plus score, the Euclidean distance of the original vectors in double precision."""
     full = pairs.join(nodes.select("node", "v"), "node").join(queries.select("query_id", F.col("v").alias("q")), "query_id").select("query_id", "node", "v", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = np.sqrt(((_matrix(batch.column("v")) - _matrix(batch.column("q"))) ** 2).sum(1)) if batch.num_rows else np.zeros(0)
-            yield pa.record_batch([batch.column("query_id"), batch.column("node"), pa.array(d)], ["query_id", "node", "d"])
+            if batch.num_rows:
+                d = np.sqrt(((_matrix(batch.column("v")) - _matrix(batch.column("q"))) ** 2).sum(1))
+                yield pa.record_batch([batch.column("query_id"), batch.column("node"), pa.array(d)], ["query_id", "node", "score"])
 
-    return full.mapInArrow(run, "query_id long, node long, d double")
+    return full.mapInArrow(run, "query_id long, node long, score double")
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
-    """(query_id, node, d): what each query (query_id, v) has met on its walk, its nearest `beam` nodes among it."""
+def search(sketches: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
+    """(query_id, node, d): all nodes that each query (query_id, h, own: its node or null) has met on its walk."""
     out = graph.select("u", "v")
     back = _nearest(graph, NEIGHBOURS, "v", "u").select(F.col("v").alias("u"), F.col("u").alias("v"))
     links = materialize(out.union(back).groupBy("u").agg(F.collect_set("v").alias("to")), "links")  # at most 2 * NEIGHBOURS
-    entries = [r.node for r in nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()]
+    entries = [r.node for r in sketches.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()]
     start = queries.select("query_id", F.explode(F.array(*(F.lit(e).cast("long") for e in entries))).alias("node"))
-    own = queries.join(nodes.select("node", "v"), "v").select("query_id", "node")
-    seen = materialize(_measured(start.union(own).distinct(), nodes, queries).withColumn("expanded", F.lit(False)), "seen")
+    own = queries.where("own is not null").select("query_id", F.col("own").alias("node"))
+    seen = materialize(_near(start.union(own).distinct(), sketches, queries).withColumn("expanded", F.lit(False)), "seen")
     by = W.partitionBy("query_id").orderBy("d", "node")
     for _ in range(STEPS):
         held = seen.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= beam)
@@ -230,7 +254,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
             break
         met = front.join(links, front.node == links.u).select("query_id", F.explode("to").alias("node")).distinct()
         met = met.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        told = _measured(met, nodes, queries).withColumn("expanded", F.lit(False))
+        told = _near(met, sketches, queries).withColumn("expanded", F.lit(False))
         mark = front.withColumn("now", F.lit(True))
         kept = seen.join(mark, ["query_id", "node"], "left").select("query_id", "node", "d", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
         old, seen = seen, materialize(kept.union(told), "seen")
@@ -242,10 +266,17 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP, vec: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for queries (query_id, v array<double>)."""
     nodes = materialize(nodes_of(vectors, k, vec), "nodes")
-    graph = build_graph(nodes)
-    found = search(nodes, graph, queries)
-    near = found.withColumn("_nth", F.row_number().over(W.partitionBy("query_id").orderBy("d", "node"))).where(F.col("_nth") <= k + 1)
-    each = near.join(nodes.select("node", "members"), "node").select("query_id", F.explode("members").alias("vec_id"), F.col("d").alias("score"))
+    small_batches(nodes.sparkSession, rows=BLOCK * 60, size=16 << 20)
+    sketch = Sketch(nodes)
+    sketches = materialize(sketch.of(nodes), "sketches")
+    graph = build_graph(sketches)
+    asked = sketch.of(queries.select(F.col("query_id").alias("node"), "v")).select(F.col("node").alias("query_id"), "h")
+    own = queries.join(nodes.select(F.col("node").alias("own"), "v"), "v", "left").select("query_id", "own")
+    met = search(sketches, graph, materialize(asked.join(own, "query_id"), "asked"))
+    close = met.withColumn("_nth", F.row_number().over(W.partitionBy("query_id").orderBy("d", "node"))).where(F.col("_nth") <= 4 * (k + 1))
+    found = _measured(close.select("query_id", "node"), nodes, queries)
+    near = found.withColumn("_nth", F.row_number().over(W.partitionBy("query_id").orderBy("score", "node"))).where(F.col("_nth") <= k + 1)
+    each = near.join(nodes.select("node", "members"), "node").select("query_id", F.explode("members").alias("vec_id"), "score")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = each.where("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -253,6 +284,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP, vec: str = "em
 
 def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = vectors.where(usable()).where(F.col("vec_id") % 100 == 0)
+    asked = vectors.where(usable() & (F.col("vec_id") % 100 == 0))
     queries = materialize(asked.select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v")), "queries")
     return nearest(vectors, queries)
