@@ -6,18 +6,20 @@ within the threshold differ in at most r shingles, r growing with the smaller si
 1. Equal sets fall together by a 128-bit digest; one representative (the smallest doc_id) stands for each class.
 2. Regions of the subspaces. Sizes form bands (distance to the empty set, a first pivot), and a document near the edge
    of a band is also placed in the band below: the window that the triangle inequality asks for. In a band, the
-   shingles' hashes are dealt into m segments. Distances add up over segments, so of m > r segments at least m - r are
-   at distance 0: the two documents lie in the Voronoi cell of the same segment content. Pivots that were sampled
-   documents cannot serve here: nearly all documents are at distance exactly 1 from any of them, every window would
-   take in every region. Cells of one document, nearly all of them, end here.
-3. Inside a cell, the pivot is the member with the smallest id. Each member's Jaccard distance to it is computed
-   exactly. Members within the threshold form the pivot's ball; what is left is partitioned by the next pivots, a
-   member being compared with one only if it lies within the triangle-inequality window of all earlier pivots
-   (|d(x,p) - d(y,p)| <= 1 - threshold) and in another ball. That goes on in rounds until each cell is a single ball.
-   A group of copies thus costs one comparison a copy, not one a pair.
-
-The m segments leave room for 2 * SPARE + 1 agreeing ones, so each document may leave up to SPARE of its cells
-(empty segments first, then its fullest cells over CROWD members) and every pair still meets.
+   shingles' hashes are dealt into m segments. Distances add up over segments, so of m segments at least m - r are
+   at distance 0: the two documents lie in the Voronoi cell of the same segment content, m - r times. Pivots that were
+   sampled documents cannot serve here: nearly all documents are at distance exactly 1 from any of them, every window
+   would take in every region.
+   A first, coarse pass (m = r + FIRST) drops all documents that share fewer than m - r cells with others: nearly all.
+   The rest is dealt again into finer segments (m about twice r). Cells are ordered by their size, and of its
+   cells a document leaves the m - r - 1 fullest: two documents that agree on m - r cells still meet in one.
+3. Inside a cell, the pivot is the member that shares most cells with others, a hub; cells with one pivot make one
+   region around it. Each member's set, its distance to the pivot and the difference E of both are computed exactly, and
+   members within the threshold join the pivot's component. Seen from the pivot, x and y differ by the difference of E(x)
+   and E(y), and the triangle inequality bounds how much of them must be common: (|E(x)| + |E(y)| - r) / 2 items. So
+   the region is dealt again into cells by the rarest items of the differences, as many as that bound asks for, and
+   the cells whose members belong to more than one component are joined in the same way, down to cells of LEAF members.
+   Each level takes a pivot out of a region, so the recursion ends; a group of copies costs about one comparison a copy, not one a pair.
 
 Nothing is collected, no group is held in memory, and all tables between rounds are written to the shared folder.
 
@@ -39,10 +41,13 @@ from pyspark.sql import Window as W
 from .shared import components, discard, materialize, small_batches, table
 from .words import mix, shingle_sets
 
-SPARE = 3
-CROWD = 64
-#: Pivots taken at once in a cell, after its first.
-PIVOTS = 4
+#: Cells beyond r that a set has in the first pass, and the same for the second as a multiple of r.
+FIRST = 3
+SECOND = 1.2
+#: Cells of at most so many members are not divided further: their members are compared with each other. The number
+#: doubles from level to level, up to LARGEST_LEAF, while what is left shrinks faster than that.
+LEAF = 16
+LARGEST_LEAF = 128
 #: Ids of candidates up to this many (8 bytes each) are broadcast to the scan of texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
@@ -62,7 +67,7 @@ class Bands:
         self.edges = [self.low]
 
     def of(self, n: int) -> list[tuple[int, int]]:
-        """(band, segments) for a set of n: its own band, and the one below if a smaller partner may lie there."""
+        """(band, r) for a set of n: its own band, and the one below if a smaller partner may lie there."""
         while self.edges[-1] <= n:
             e = self.edges[-1]
             self.edges.append(max(e + 1, -(-e * 3 // 2), -(-e * self.den // self.num)))
@@ -70,131 +75,191 @@ class Bands:
         out = []
         for band in (own, own - 1):
             if band >= 0 and (band == own or n * self.num <= (self.edges[own] - 1) * self.den):
-                out.append((band, differ_most(self.edges[band + 1] - 1, self.num, self.den) + 2 * SPARE + 1))
+                out.append((band, differ_most(self.edges[band + 1] - 1, self.num, self.den)))
         return out
 
 
-def cell_keys(found: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the cells of a set, and for each how many of its band's cells the set has left already (empty segments)."""
-    keys, left = [np.zeros(0, _U)], [np.zeros(0, np.int8)]
-    for band, m in bands.of(len(found)):
+def cell_keys(found: np.ndarray, bands: Bands, fine: bool) -> list[tuple[int, int, np.ndarray]]:
+    """For each band of a set: (band, how many of its fullest cells it may still leave, keys of its cells).
+
+    Empty segments count as the fullest cells of all and are left first.
+    """
+    out = []
+    for band, r in bands.of(len(found)):
+        m = r + (FIRST if not fine else 2 + int(np.ceil(SECOND * r)))
         segment = ((found >> _U(32)) % _U(m)).astype(np.int64)
         content = np.zeros(m, _U)
         with np.errstate(over="ignore"):
             np.add.at(content, segment, mix(found ^ _U(0x5851F42D4C957F2D)))
             size = np.bincount(segment, minlength=m)
             key = mix(content + mix(np.arange(m).astype(_U) + _U(band << 32)) + size.astype(_U))
-        empty = np.flatnonzero(size == 0)
-        gone = empty[:SPARE]
-        stay = np.setdiff1d(np.arange(m), gone)
-        keys.append(key[stay])
-        left.append(np.full(len(stay), len(gone), np.int8))
-    return np.concatenate(keys), np.concatenate(left)
+        leave = m - r - 1
+        gone = np.flatnonzero(size == 0)[::-1][:leave]
+        out.append((band, leave - len(gone), np.delete(key, gone)))
+    return out
 
 
-def shingled(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, cells, spent): set size, digest, cell keys and spent spares; one pass over the texts."""
-    small_batches(docs.sparkSession)
+def _by_batch(f, kinds: str):
+    """A mapInArrow function from f(batch), which gives the columns."""
+    names = [k.split()[0] for k in kinds.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
         for batch in batches:
-            n, d1, d2, cells, spent = [], [], [], [], []
-            for found in shingle_sets(batch.column("text"), k):
-                n.append(len(found))
-                with np.errstate(over="ignore"):
-                    d1.append(mix(found).sum(dtype=_U))
-                    d2.append(mix(found ^ _U(0x2545F4914F6CDD1D)).sum(dtype=_U))
-                keys, left = cell_keys(found, bands)
-                cells.append(keys.view(np.int64))
-                spent.append(int(left.max(initial=0)))
-            flat = np.concatenate(cells) if cells else np.zeros(0, np.int64)
-            ends = np.cumsum([0, *map(len, cells)]).astype(np.int32)
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(np.array(n, np.int64)), *(pa.array(np.array(d, _U).view(np.int64)) for d in (d1, d2)), pa.ListArray.from_arrays(ends, flat), pa.array(np.array(spent, np.int32))],
-                ["doc_id", "n_shingles", "d1", "d2", "cells", "spent"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, cells array<long>, spent int")
-
-
-def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(node, items) for the nodes in ids: the documents' shingle hashes, read from the texts again."""
-    ids = ids.select(F.col("node").alias("doc_id"))
+            if batch.num_rows:
+                yield pa.record_batch(f(batch), names)
+
+    return run
+
+
+def digests(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2): size and digest of each document's set."""
+    small_batches(docs.sparkSession)
+
+    def columns(batch: pa.RecordBatch) -> list:
+        n, d1, d2 = [], [], []
+        for found in shingle_sets(batch.column("text"), k):
+            n.append(len(found))
+            with np.errstate(over="ignore"):
+                d1.append(mix(found).sum(dtype=_U))
+                d2.append(mix(found ^ _U(0x2545F4914F6CDD1D)).sum(dtype=_U))
+        return [batch.column("doc_id"), pa.array(np.array(n, np.int64)), *(pa.array(np.array(d, _U).view(np.int64)) for d in (d1, d2))]
+
+    kinds = "doc_id long, n_shingles long, d1 long, d2 long"
+    return docs.select("doc_id", "text").mapInArrow(_by_batch(columns, kinds), kinds)
+
+
+def cells_of(docs: DataFrame, k: int, num: int, den: int, fine: bool) -> DataFrame:
+    """(x, band, leave, key), one row a cell of each document."""
+    small_batches(docs.sparkSession)
+
+    def columns(batch: pa.RecordBatch) -> list:
+        bands = Bands(num, den)
+        x, band, leave, keys = [], [], [], [np.zeros(0, _U)]
+        for doc, found in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), k), strict=True):
+            for b, left, key in cell_keys(found, bands, fine):
+                x.append(doc)
+                band.append(b)
+                leave.append(left)
+                keys.append(key)
+        ends = np.cumsum([0, *map(len, keys[1:])]).astype(np.int32)
+        flat = np.concatenate(keys).view(np.int64)
+        return [pa.array(x, pa.int64()), pa.array(band, pa.int32()), pa.array(leave, pa.int32()), pa.ListArray.from_arrays(ends, flat)]
+
+    kinds = "x long, band int, leave int, cells array<long>"
+    rows = docs.select("doc_id", "text").mapInArrow(_by_batch(columns, kinds), kinds)
+    return rows.select("x", "band", "leave", F.explode("cells").alias("key"))
+
+
+def shared_cells(cells: DataFrame) -> DataFrame:
+    """cells of two members or more, with n, their number of members. One shuffle, read twice."""
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(n, "key")
+    full = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return cells.join(full, "key")
+
+
+def picked(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """doc_id and text of the documents in ids (doc_id), or of all others; ids are broadcast only if few."""
     few = ids.count() <= BROADCAST_ROWS
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", how)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s.view(np.int64) for s in shingle_sets(batch.column("text"), k)]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(ends, flat)], ["node", "items"])
 
-    sets = picked.mapInArrow(run, "node long, items array<long>")
-    return sets.groupBy("node").agg(F.first("items").alias("items"))
+def sets_of(docs: DataFrame, k: int) -> DataFrame:
+    """(node, items): the documents' shingle hashes; of rows that share a doc_id, one counts."""
+
+    def columns(batch: pa.RecordBatch) -> list:
+        found = [s.view(np.int64) for s in shingle_sets(batch.column("text"), k)]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return [batch.column("doc_id"), pa.ListArray.from_arrays(ends, np.concatenate(found))]
+
+    kinds = "node long, items array<long>"
+    return docs.mapInArrow(_by_batch(columns, kinds), kinds).groupBy("node").agg(F.min("items").alias("items"))
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (p, x) plus shared and total: the sizes of intersection and union."""
-    left = pairs.join(sets.select(F.col("node").alias("x"), F.col("items").alias("xs")), "x")
+def measured(regions: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """regions (.., p, x) plus near, size (of x) and e, the items that x or p has alone."""
+    left = regions.join(sets.select(F.col("node").alias("x"), F.col("items").alias("xs")), "x")
     both = left.join(sets.select(F.col("node").alias("p"), F.col("items").alias("ps")), "p")
-    shared = F.size(F.array_intersect("xs", "ps"))
-    return both.select("p", "x", shared.alias("shared"), (F.size("xs") + F.size("ps") - shared).alias("total"))
+    e = F.concat(F.array_except("xs", "ps"), F.array_except("ps", "xs"))
+    both = both.select(*regions.columns, F.size("xs").alias("size"), F.size("ps").alias("p_size"), e.alias("e"))
+    # twice the shared items are both sizes less the difference, twice the union is both sizes and the difference
+    near = F.lit(den) * (F.col("size") + F.col("p_size") - F.size("e")) >= F.lit(num) * (F.col("size") + F.col("p_size") + F.size("e"))
+    return both.withColumn("near", near).drop("p_size")
 
 
-def candidate_cells(reps: DataFrame, tag: str = "jaccard") -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs (p, x) of cells of two, and (key, x) of larger cells; cells with the same members become one.
+def _unlike(cells: DataFrame) -> DataFrame:
+    """cells whose members belong to two components or more; of those with the same members, one in each region."""
+    seen = cells.groupBy("region", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "x")).alias("s2")
+    )
+    one = seen.where("r0 <> r1").groupBy("region", "n", "s1", "s2").agg(F.min("key").alias("key")).select("region", "key")
+    return cells.join(one, ["region", "key"])
+
+
+def candidates(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, tag: str = "jaccard") -> DataFrame:
+    """(region, key, x, hub, root): the first cells, with the members that stay in them."""
+    small = materialize(reps.select(F.col("node").alias("doc_id")), tag)
+    coarse = shared_cells(cells_of(picked(docs, small), k, num, den, fine=False))
+    alive = coarse.groupBy("x", "band").agg(F.count(F.lit(1)).alias("met"), F.first("leave").alias("leave")).where("met > leave")
+    alive = materialize(alive.select(F.col("x").alias("doc_id")).distinct(), tag)
+    fine = shared_cells(cells_of(picked(docs, alive), k, num, den, fine=True))
+    own = W.partitionBy("x", "band")
+    fullest = F.row_number().over(own.orderBy(F.desc("n"), F.desc("key")))
+    kept = fine.select("key", "x", "leave", fullest.alias("nth"), F.sum("n").over(own).alias("hub")).where("nth > leave")
+    kept = materialize(kept.select(F.lit(0).cast("long").alias("region"), "key", "x", "hub", F.col("x").alias("root")), tag)
+    return materialize(_unlike(kept), tag)
 
-    leaves: how many cells (of those that became one, all) x has left when it leaves its fullest ones down to this one.
+
+def _dealt_again(told: DataFrame, num: int, den: int) -> DataFrame:
+    """(region, key, x, hub, root): told (region, x, root, near, size, e) as cells by the rarest items of the differences.
+
+    need: how many items of its difference x shares at least with any partner that is not, like x, near the pivot. Items
+    that one member has alone count, but make no cell. Where nothing need be shared, a common cell takes x in.
     """
-    rows = reps.select(F.col("node").alias("x"), "spent", F.explode("cells").alias("key"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "key")
-    cells = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "x")).alias("s2"))
-    cells = materialize(cells.where("n > 1"), tag)
-    pairs = cells.where("n = 2").select(F.col("lo").alias("p"), F.col("hi").alias("x")).distinct()
-    crowded = cells.where("n > 2").groupBy("n", "lo", "hi", "s1", "s2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("alike"))
-    members = rows.join(crowded.select("key", "n", "alike"), "key")
-    fullest = W.partitionBy("x").orderBy(F.desc("n"), "key").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return materialize(pairs, tag), members.select("key", "n", "x", "spent", F.sum("alike").over(fullest).alias("leaves"))
+    far = told.where("not near").groupBy("region").agg(F.min(F.size("e")).alias("far"))
+    r = f"floor({den - num} * size / {num})"
+    need = f"cast(ceil(if(near, far + size(e) - {r}, size(e) + greatest(0, size(e) - {r}) - {r}) / 2) as int)"
+    rows = told.join(far, "region").select("region", "x", "root", F.expr(need).alias("need"), "e")
+    any_ = rows.where("need <= 0").select("region", F.xxhash64("region").alias("key"), "x", "root", F.lit(0).cast("long").alias("hub"))
+    items = materialize(rows.select("region", "x", "root", "need", F.explode("e").alias("item")), "items")
+    full = items.groupBy("region", "item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    items = items.join(full, ["region", "item"])
+    own = W.partitionBy("region", "x")
+    rarest = F.row_number().over(own.orderBy("n", "item"))
+    items = items.select("region", "x", "root", "need", "item", "n", rarest.alias("nth"), F.count(F.lit(1)).over(own).alias("met"))
+    kept = items.where("need <= 0 or nth <= met - need + 1")
+    hub = F.sum("n").over(own)
+    return kept.select("region", F.xxhash64("region", "item").alias("key"), "x", "root", hub.alias("hub")).unionByName(any_)
 
 
 def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b) links whose components are those of all links between representatives."""
-    tag, eps = "jaccard", 1 - num / den + 1e-9
-    pairs, members = candidate_cells(reps, tag)
-    members = materialize(members.where(f"n <= {CROWD} or leaves > {SPARE} - spent").select("key", "x"), tag)
-    nodes = pairs.select(F.explode(F.array("p", "x")).alias("node")).union(members.select(F.col("x").alias("node"))).distinct()
-    sets = materialize(sets_of(docs, materialize(nodes, tag), k), tag)
-    near = f"{den} * shared >= {num} * total"
-    found = [materialize(measured(pairs, sets).where(near).select(F.col("p").alias("a"), F.col("x").alias("b")), tag)]
-    cells = members.select("key", "x", F.col("x").alias("ball"), F.expr("cast(array() as array<struct<p:bigint,d:double>>)").alias("seen"))
-    pivots = 1
-    while True:
-        live = cells.groupBy("key").agg((F.min("ball") != F.max("ball")).alias("open")).where("open").select("key")
-        cells = materialize(cells.join(live, "key"), tag)
-        if cells.isEmpty():
-            break
-        # members that no ball holds come first, smallest id first
-        order = W.partitionBy("key").orderBy((F.col("ball") != F.col("x")).cast("int"), "x")
-        chosen = cells.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= pivots)
-        chosen = materialize(chosen.select("key", F.col("x").alias("p"), F.col("ball").alias("p_ball"), F.col("seen").alias("p_seen"), "nth"), tag)
-        met = cells.join(chosen, "key").where("x <> p and ball <> p_ball")
-        window = f"not exists(seen, s -> exists(p_seen, t -> t.p = s.p and abs(t.d - s.d) > {eps}))"
-        met = materialize(met.where(window).select("key", "x", "p", "nth"), tag)
-        told = materialize(measured(met.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x")).distinct(), sets), tag)
-        found.append(materialize(told.where(near).select(F.col("p").alias("a"), F.col("x").alias("b")), tag))
-        dist = told.select(F.col("p").alias("lo"), F.col("x").alias("hi"), (1 - F.col("shared") / F.col("total")).alias("d"), F.expr(near).alias("near"))
-        dist = met.withColumns({"lo": F.least("p", "x"), "hi": F.greatest("p", "x")}).join(dist, ["lo", "hi"])
-        news = dist.groupBy("key", "x").agg(F.collect_list(F.struct("p", "d")).alias("more"), F.min(F.when(F.col("near"), F.struct("nth", "p")))["p"].alias("to"))
-        done = chosen.select("key", F.col("p").alias("x"))
-        balls = chosen.select("key", F.col("p").alias("to"), "p_ball")
-        after = cells.join(done, ["key", "x"], "left_anti").join(news, ["key", "x"], "left").join(balls, ["key", "to"], "left")
-        after = after.select("key", "x", F.coalesce("p_ball", "ball").alias("ball"), F.when(F.col("more").isNull(), F.col("seen")).otherwise(F.concat("seen", "more")).alias("seen"))
-        old, cells, pivots = cells, materialize(after, tag), PIVOTS
-        for gone in (old, chosen, met, told):
+    """(a, b): links between representatives whose components are those of all links."""
+    tag = "jaccard"
+    cells = candidates(docs, reps, k, num, den, tag)
+    nodes = materialize(cells.select(F.col("x").alias("doc_id")).distinct(), tag)
+    sets = materialize(sets_of(picked(docs, nodes), k), tag)
+    found = []
+    leaf = LEAF
+    while not cells.isEmpty():
+        hub = F.max(F.struct("hub", (-F.col("x")).alias("x"), "root")).alias("top")
+        pivots = cells.groupBy("region", "key").agg(hub, F.count(F.lit(1)).alias("n"))
+        pivots = pivots.select("region", "key", "n", (-F.col("top.x")).alias("p"), F.col("top.root").alias("p_root"))
+        members = cells.join(pivots, ["region", "key"])
+        around = members.where(f"n > {leaf} and x <> p").select(F.xxhash64("region", "p").alias("region"), F.lit(False).alias("leaf"), "p", "p_root", "x", "root")
+        small = members.where(f"n <= {leaf}").select("region", "key", "x", "root")
+        one, other = small, small.select("region", "key", F.col("x").alias("p"), F.col("root").alias("p_root"))
+        direct = one.join(other, ["region", "key"]).where("p < x and root <> p_root").select(F.lit(0).cast("long").alias("region"), F.lit(True).alias("leaf"), "p", "p_root", "x", "root")
+        told = materialize(measured(around.unionByName(direct).distinct(), sets, num, den), tag)
+        found.append(materialize(told.where("near").select(F.col("p").alias("a"), F.col("x").alias("b")).distinct(), tag))
+        merged = told.where("near").groupBy("x").agg(F.min("p_root").alias("into"))
+        told_now = told.where("not leaf").join(merged, "x", "left").withColumn("root", F.least("root", "into")).drop("into", "p_root", "leaf")
+        dealt = materialize(_dealt_again(told_now, num, den), tag)
+        old, cells = cells, materialize(_unlike(dealt), tag)
+        for gone in (old, told, dealt):
             discard(gone)
+        leaf = min(2 * leaf, LARGEST_LEAF)
+    if not found:
+        return docs.sparkSession.createDataFrame([], "a long, b long")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -203,15 +268,12 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataF
 
 def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
-    rows = materialize(shingled(docs, k, num, den), "shingles")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(
-        F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.max("spent").alias("spent"), F.min_by("cells", "doc_id").alias("cells")
-    )
-    classes = classes.drop("last")
-    reps = materialize(classes, "classes")
+    rows = materialize(digests(docs, k), "digests")
+    reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"))
+    reps = materialize(reps, "classes")
     roots = components(links(docs, reps, k, num, den))
     named = reps.select("d1", "d2", F.col("n_shingles").alias("n"), "node").join(roots, "node", "left").select("d1", "d2", "n", F.coalesce("root", "node").alias("root"))
-    out = rows.drop("cells", "spent").join(named, (rows.d1 == named.d1) & (rows.d2 == named.d2) & (rows.n_shingles == named.n), "left")
+    out = rows.join(named, (rows.d1 == named.d1) & (rows.d2 == named.d2) & (rows.n_shingles == named.n), "left")
     own = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
