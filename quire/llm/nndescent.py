@@ -14,8 +14,7 @@ All steps are joins on node or query keys; a task streams over the sorted groups
 batch. Every row of the table is a node; recall is measured against brute force in the tests and the README.
 
 Edge cases: vectors that are null, empty, all zero, or hold null or non-finite components take no part, neither does a
-null vec_id; vectors of another dimension than the most frequent one have a graph of their own only if they are given
-apart (they take no part here); fewer candidates than k give fewer rows; ties go to the smaller vec_id; an empty
+null vec_id; vectors of another dimension than the most frequent one take no part and, as queries, get no rows; fewer candidates than k give fewer rows; ties go to the smaller vec_id; an empty
 table gives no rows. Extra columns are ignored.
 """
 
@@ -205,7 +204,7 @@ def build_graph(sketches: DataFrame, neighbours: int = NEIGHBOURS, rounds: int =
         both = graph.withColumn("new", F.lit(False)).union(met).groupBy("u", "v").agg(F.min("d").alias("d"), F.min("new").alias("new"))
         old, graph = graph, materialize(_nearest(both, neighbours), "graph")
         discard(old)
-        if graph.agg(F.avg(F.col("new").cast("double"))).first()[0] < CALM:
+        if (graph.agg(F.avg(F.col("new").cast("double"))).first()[0] or 0.0) < CALM:
             break
     return graph
 
@@ -268,6 +267,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP, vec: str = "em
     nodes = materialize(nodes_of(vectors, k, vec), "nodes")
     small_batches(nodes.sparkSession, rows=BLOCK * 60, size=16 << 20)
     sketch = Sketch(nodes)
+    queries = queries.where(F.size("v") == len(sketch.centre))
     sketches = materialize(sketch.of(nodes), "sketches")
     graph = build_graph(sketches)
     asked = sketch.of(queries.select(F.col("query_id").alias("node"), "v")).select(F.col("node").alias("query_id"), "h")

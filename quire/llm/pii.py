@@ -1,7 +1,7 @@
 """Personal data by regular expressions, then by contexts learnt from what those found.
 
 Base entities come from four patterns (email, ip, card, phone) and are never given up. They are the seeds of a
-bootstrap: the word before an entity is a lexical pattern, a token that holds digits or an @ is an instance, and the
+bootstrap: the word before an entity is a lexical pattern, a token that holds three digits or an @ is an instance, and the
 graph of patterns and instances is scored in turns. A pattern's confidence is the share of its instances' scores, with
 one doubtful instance added (so that rare patterns stay low); an instance's score is one minus the chance that all its
 patterns err. After ROUNDS turns, tokens that no base entity covers but that stand behind a pattern of MIN_CONFIDENCE
@@ -33,7 +33,7 @@ ROUNDS = 3
 MIN_CONFIDENCE = 0.8
 MIN_SEEDS = 5
 #: A token that may be an identifier, with the word and the single space before it.
-_CANDIDATE = r"(?<![^\s])[A-Za-z]{2,30}+:? (?=[A-Za-z@#:/_.+-]{0,64}+[0-9])[A-Za-z0-9@#:/_.+-]{6,64}+(?![^\s,;])"
+_CANDIDATE = r"(?<![^\s])[A-Za-z]{2,30}+:? (?=[A-Za-z#:/_.+-]{0,64}+[0-9@])[A-Za-z0-9@#:/_.+-]{6,64}+(?![^\s,;])"
 
 
 def _scan(text: str, pattern: str, fields: str, item: str, keep: str = "true") -> Column:
@@ -89,8 +89,8 @@ def _candidates(text: str) -> Column:
     """Array of (start, end, context, value): tokens that may be identifiers, each with the word before it."""
     fields = "start:int,end:int,context:string,value:string"
     item = "named_struct('start', @at + position(' ', x.hit), 'end', @at + length(x.hit), 'context', substring_index(x.hit, ' ', 1), 'value', substring(x.hit, position(' ', x.hit) + 1))"
-    got = _scan(text, _CANDIDATE, fields, item, "x.hit rlike '[0-9][^0-9]*[0-9][^0-9]*[0-9]'")
-    return F.when(F.col(text).rlike("[0-9]"), got).otherwise(F.expr(f"cast(array() as array<struct<{fields}>>)"))
+    got = _scan(text, _CANDIDATE, fields, item, "x.hit rlike '@|[0-9][^0-9]*[0-9][^0-9]*[0-9]'")
+    return F.when(F.col(text).rlike("[0-9@]"), got).otherwise(F.expr(f"cast(array() as array<struct<{fields}>>)"))
 
 
 def pattern_graph(found: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import DATA, same
+from helpers import DATA, same
 from quire.llm import queries
 
 

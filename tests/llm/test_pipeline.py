@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from brute import components, lower, words
-from conftest import DATA
+from helpers import DATA
 from quire.llm import mixing, toxicity
 from quire.llm.shared import materialize, table
 

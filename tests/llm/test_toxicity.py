@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from conftest import DATA
+from helpers import DATA
 from quire.llm import toxicity
 
 

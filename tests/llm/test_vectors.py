@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from brute import nearest, top_k
-from conftest import DATA
+from helpers import DATA
 from quire.llm import mtree, nndescent
 
 KIND = "vec_id long, embedding array<float>, label int"
