@@ -26,12 +26,22 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Characters that normalisation replaces or drops: all white space but the space, controls, and the marks above.
+_ODD = f"[{CONTROL}{SPACE.replace('-\\r ', '-\\r')}{FROM}{ELLIPSIS}]"
+
+
 def normalize(text: str | Column) -> Column:
-    """Plain quotes and dashes, no control characters, runs of white space as one space, trimmed. Null stays null."""
-    plain = F.replace(_col(text), F.lit(ELLIPSIS), F.lit("..."))
+    """Plain quotes and dashes, no control characters, runs of white space as one space, trimmed. Null stays null.
+
+    Most texts need no change; a search tells, and saves them the replacements.
+    """
+    text = _col(text)
+    plain = F.replace(text, F.lit(ELLIPSIS), F.lit("..."))
     plain = F.translate(plain, FROM, TO)
     plain = F.regexp_replace(plain, f"[{CONTROL}]", "")
-    return F.trim(F.regexp_replace(plain, f"[{SPACE}]+", " "))
+    plain = F.trim(F.regexp_replace(plain, f"[{SPACE}]+", " "))
+    spaced = text.contains("  ") | text.startswith(" ") | text.endswith(" ")
+    return F.when(spaced | text.rlike(_ODD), plain).otherwise(text)
 
 
 def sentences(normal: str | Column) -> Column:

@@ -18,9 +18,8 @@ from ..model import ChunkConfig
 
 def sentence_rows(blocks: DataFrame) -> DataFrame:
     """One row a sentence: doc, source, page_seq, page, block_pos, block, origin, confidence, pos, s, n (code points)."""
-    kept = blocks.select("doc", "source", "page_seq", "page", "block_pos", "block", "origin", "confidence", normalize("text").alias("t"))
-    rows = kept.where(F.length("t") > 0).select("*", F.posexplode(sentences("t")).alias("pos", "s")).drop("t")
-    return rows.withColumn("n", F.length("s"))
+    kept = blocks.select("doc", "source", "page_seq", "page", "block_pos", "block", "origin", "confidence", F.posexplode(sentences(normalize("text"))).alias("pos", "s"))
+    return kept.withColumn("n", F.length("s"))
 
 
 _INTS = "cast(array() as array<int>)"
