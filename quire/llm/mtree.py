@@ -4,14 +4,14 @@ Vectors become integers, floor(SCALE * x), and scores are exact integers. Inner
 norm, a vector v lifted to (v, sqrt(M^2 - |v|^2)) and a query lifted to (q, 0) are at the squared distance
 |q|^2 + M^2 - 2 q.v, so the nearest lifted vectors have the highest scores.
 
-The vectors are dealt into trees of at most TREE rows: by their nearest pivot (a bounded sample), and within a crowded
+The vectors are dealt into trees of about TREE rows: by their nearest pivot (a bounded sample), and within a crowded
 pivot by hash. Each tree is built in one task and written as pages: routing objects with covering radius and distance to
 the parent, and leaf entries with distance to their routing object. A query first searches the tree of its own
 pivot. The score of its k-th best there bounds all other trees: a tree whose root ball cannot reach that score is not
 visited at all, the others are searched best-first, subtrees and entries being passed over where
 |d(q, parent) - d(parent, entry)| - radius shows, without a distance computation, that they cannot reach the bound.
 
-Queries meet trees by tree and block of at most BLOCK queries, so a task holds one tree and one block. Of equal vectors
+Queries meet trees by tree and block of about BLOCK queries, so a task holds one tree and one block. Of equal vectors
 only the k + 1 with the smallest ids are candidates; no query's result needs more.
 
 Edge cases: null vectors, vectors with null or non-finite components and empty vectors take no part; vectors are
@@ -46,14 +46,14 @@ PIVOTS = 64
 SLACK = 1e-9
 
 
-def usable(vectors: DataFrame, vec: str = "embedding") -> Column:
+def usable(vec: str = "embedding") -> Column:
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
     return F.col("vec_id").isNotNull() & F.col(vec).isNotNull() & (F.size(vec) > 0) & ~bad
 
 
 def quantised(vectors: DataFrame, vec: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(vec_id, v): v as array<long>."""
-    return vectors.where(usable(vectors, vec)).select("vec_id", F.transform(vec, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    return vectors.where(usable(vec)).select("vec_id", F.transform(vec, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
 class Tree:
@@ -178,12 +178,10 @@ def _from_pages(pages: pd.DataFrame) -> Tree:
     return t
 
 
-def dealt(vectors: DataFrame, k: int = TOP, trees_of: int = TREE) -> DataFrame:
-    """vectors (vec_id, v) of the candidates with `tree`, and `home` the tree number of their pivot's first part."""
-    small_batches(vectors.sparkSession)
+def distinct_vectors(vectors: DataFrame, k: int = TOP) -> DataFrame:
+    """vectors (vec_id, v), of equal ones only the k + 1 with the smallest ids."""
     nth = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
-    distinct = vectors.withColumn("_nth", nth).where(F.col("_nth") <= k + 1).drop("_nth")
-    return distinct
+    return vectors.withColumn("_nth", nth).where(F.col("_nth") <= k + 1).drop("_nth")
 
 
 def _assign(vectors: DataFrame, pivots: list[tuple[int, np.ndarray]]) -> DataFrame:
@@ -208,7 +206,8 @@ def _assign(vectors: DataFrame, pivots: list[tuple[int, np.ndarray]]) -> DataFra
 
 def build(vectors: DataFrame, lift2: int, k: int = TOP) -> tuple[DataFrame, DataFrame, list]:
     """(pages, homes, pivots): all trees as pages; homes: (pivot, parts), how many trees a pivot's vectors make."""
-    distinct = materialize(dealt(vectors, k), "vectors")
+    small_batches(vectors.sparkSession)
+    distinct = materialize(distinct_vectors(vectors, k), "vectors")
     sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()  # a fixed number of rows
     pivots = [(n, np.array(r.v, np.int64)) for n, r in enumerate(sample)]
     placed = materialize(_assign(distinct, pivots), "placed")
