@@ -38,7 +38,7 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) ->
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         try:
-            now = int(spark.conf.get(key))
+            now = int(spark.conf.get(key).rstrip("b"))
             if now <= 0 or now > most:
                 spark.conf.set(key, str(most))
         except Exception:  # noqa: BLE001  the setting is not known or not in plain bytes here

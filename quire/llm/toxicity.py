@@ -27,7 +27,7 @@ from .shared import small_batches, table
 ORDERS = (3, 4, 5, 6)
 BITS = 20
 TRAIN_ROWS = 20_000
-FEATURES = 4096
+FEATURES = 2048
 SMOOTHING = 1.0
 THRESHOLD = 0.3
 PART = 1 << 19
@@ -75,7 +75,7 @@ def _buckets(code: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def presence(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket), each pair once, sorted by text; only buckets that are set in `wanted`, if given."""
-    pairs = [np.zeros(0, np.int64)]
+    pairs, held = [np.zeros(0, np.int64)], 0
     for code, number in _codes(texts):
         for n, bucket in _buckets(code):
             same = number[: len(bucket)] == number[n - 1 :]
@@ -83,10 +83,24 @@ def presence(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.nda
                 same &= wanted[bucket]
             at = np.flatnonzero(same)
             pairs.append(np.unique((number[at].astype(np.int64) << BITS) | bucket[at]))
+            held += len(pairs[-1])
+        if held > 1 << 22:  # parts of a long text mostly repeat each other
+            pairs = [np.unique(np.concatenate(pairs))]
+            held = len(pairs[0])
     pairs = np.unique(np.concatenate(pairs))
     return (pairs >> BITS).astype(np.int64), (pairs & ((1 << BITS) - 1)).astype(np.int64)
 
 
+def _groups(texts: list[str]) -> Iterator[slice]:
+    """Slices of texts of about PART characters each."""
+    at = n = 0
+    for k, text in enumerate(texts):
+        n += len(text)
+        if n >= PART or k == len(texts) - 1:
+            yield slice(at, k + 1)
+            at, n = k + 1, 0
+
+
 @dataclass
 class Model:
     """bias, and a weight for each chosen bucket; r is already multiplied in."""
@@ -100,15 +114,17 @@ class Model:
         dense[self.buckets] = self.weights
         wanted = np.zeros(1 << BITS, bool)
         wanted[self.buckets] = True
-        number, bucket = presence(texts, wanted)
-        z = self.bias + np.bincount(number, dense[bucket], len(texts))[: len(texts)]
+        z = np.full(len(texts), self.bias)
+        for part in _groups(texts):
+            number, bucket = presence(texts[part], wanted)
+            z[part] += np.bincount(number, dense[bucket], part.stop - part.start)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def training_sample(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, toxic) of at most `rows` labelled documents outside the held-out fold."""
     known = labels.where("doc_id is not null and toxic is not null").where(fold() != 2)
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
@@ -125,11 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: in
         seen = np.zeros((2, 1 << BITS), np.int32)
         n = np.zeros(2, np.int64)
         for batch in batches:
-            toxic = batch.column("toxic").to_numpy()
-            number, bucket = presence(_texts(batch))
-            for k in (0, 1):
-                seen[k] += np.bincount(bucket[toxic[number] == k], minlength=1 << BITS).astype(np.int32)
-                n[k] += (toxic == k).sum()
+            toxic, texts = batch.column("toxic").to_numpy(), _texts(batch)
+            n += np.bincount(toxic, minlength=2)
+            for part in _groups(texts):
+                number, bucket = presence(texts[part])
+                for k in (0, 1):
+                    found, times = np.unique(bucket[toxic[part][number] == k], return_counts=True)
+                    seen[k, found] += times.astype(np.int32)
         at = np.flatnonzero(seen.any(0))
         for part in np.array_split(at, max(1, len(at) // 50_000)):
             yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(seen[0][part].astype(np.int64)), pa.array(seen[1][part].astype(np.int64))], ["bucket", "other", "toxic"])
@@ -154,9 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: in
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number, bucket = presence(_texts(batch), wanted)
-            place = np.searchsorted(buckets, bucket).astype(np.int16)
-            found = np.split(place, np.searchsorted(number, np.arange(1, batch.num_rows)))
+            texts, found = _texts(batch), []
+            for part in _groups(texts):
+                number, bucket = presence(texts[part], wanted)
+                place = np.searchsorted(buckets, bucket).astype(np.int16)
+                found += np.split(place, np.searchsorted(number, np.arange(1, part.stop - part.start)))
             yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array([f.tobytes() for f in found], pa.binary())], ["doc_id", "toxic", "found"])
 
     rows_ = sample.mapInArrow(sets, "doc_id long, toxic int, found binary").toPandas().sort_values(["doc_id", "found"])
@@ -165,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: in
     return Model(bias, buckets, w * r)
 
 
-def logistic(found: list[np.ndarray], y: np.ndarray, r: np.ndarray, penalty: float = 1e-4, steps: int = 400) -> tuple[float, np.ndarray]:
+def logistic(found: list[np.ndarray], y: np.ndarray, r: np.ndarray, penalty: float = 1e-6, steps: int = 600) -> tuple[float, np.ndarray]:
     """Bias and weights of a ridge-penalised logistic regression on sets of features, each worth r (accelerated gradient)."""
     row = np.repeat(np.arange(len(y)), [len(f) for f in found])
     col = np.concatenate(found) if found else np.zeros(0, np.int64)
