@@ -17,9 +17,10 @@ within the threshold differ in at most r shingles, r growing with the smaller si
    region around it. Each member's set, its distance to the pivot and the difference E of both are computed exactly, and
    members within the threshold join the pivot's component. Seen from the pivot, x and y differ by the difference of E(x)
    and E(y), and the triangle inequality bounds how much of them must be common: (|E(x)| + |E(y)| - r) / 2 items. So
-   the region is dealt again into cells by the rarest items of the differences, as many as that bound asks for, and
-   the cells whose members belong to more than one component are joined in the same way, down to cells of LEAF members.
-   Each level takes a pivot out of a region, so the recursion ends; a group of copies costs about one comparison a copy, not one a pair.
+   the region is dealt again into cells by the rarest items of the differences, as many as that bound asks for (fewer
+   for the smaller partner of a pair than for the larger), and the cells whose members belong to more than one
+   component are joined in the same way, down to cells of LEAF members. Each level takes a pivot out of a region, so the
+   recursion ends; a group of copies costs a few comparisons a copy, not one a pair.
 
 Nothing is collected, no group is held in memory, and all tables between rounds are written to the shared folder.
 
@@ -44,10 +45,8 @@ from .words import mix, shingle_sets
 #: Cells beyond r that a set has in the first pass, and the same for the second as a multiple of r.
 FIRST = 3
 SECOND = 1.2
-#: Cells of at most so many members are not divided further: their members are compared with each other. The number
-#: doubles from level to level, up to LARGEST_LEAF, while what is left shrinks faster than that.
-LEAF = 16
-LARGEST_LEAF = 128
+#: Cells of at most so many members are not divided further: their members are compared with each other.
+LEAF = 12
 #: Ids of candidates up to this many (8 bytes each) are broadcast to the scan of texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
@@ -151,11 +150,8 @@ def cells_of(docs: DataFrame, k: int, num: int, den: int, fine: bool) -> DataFra
 
 
 def shared_cells(cells: DataFrame) -> DataFrame:
-    """cells of two members or more, with n, their number of members. One shuffle, read twice."""
-    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(n, "key")
-    full = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return cells.join(full, "key")
+    """cells of two members or more, with n, their number of members. One shuffle, and one pass over what makes the cells."""
+    return cells.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1")
 
 
 def picked(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -188,16 +184,19 @@ def measured(regions: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 
 def _unlike(cells: DataFrame) -> DataFrame:
-    """cells whose members belong to two components or more; of those with the same members, one in each region."""
+    """cells that may hold a link: one member there as the smaller partner, and members of two components or more.
+
+    Of those with the same members, one stays in each region.
+    """
     seen = cells.groupBy("region", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "x")).alias("s2")
+        F.count(F.lit(1)).alias("n"), F.count_if("short").alias("n_short"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum(F.xxhash64("x", "short").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "x", "short")).alias("s2")
     )
-    one = seen.where("r0 <> r1").groupBy("region", "n", "s1", "s2").agg(F.min("key").alias("key")).select("region", "key")
+    one = seen.where("r0 <> r1 and n_short > 0").groupBy("region", "n", "n_short", "s1", "s2").agg(F.min("key").alias("key")).select("region", "key")
     return cells.join(one, ["region", "key"])
 
 
 def candidates(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, tag: str = "jaccard") -> DataFrame:
-    """(region, key, x, hub, root): the first cells, with the members that stay in them."""
+    """(region, key, x, hub, short, root): the first cells, with the members that stay in them."""
     small = materialize(reps.select(F.col("node").alias("doc_id")), tag)
     coarse = shared_cells(cells_of(picked(docs, small), k, num, den, fine=False))
     alive = coarse.groupBy("x", "band").agg(F.count(F.lit(1)).alias("met"), F.first("leave").alias("leave")).where("met > leave")
@@ -206,30 +205,37 @@ def candidates(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, tag
     own = W.partitionBy("x", "band")
     fullest = F.row_number().over(own.orderBy(F.desc("n"), F.desc("key")))
     kept = fine.select("key", "x", "leave", fullest.alias("nth"), F.sum("n").over(own).alias("hub")).where("nth > leave")
-    kept = materialize(kept.select(F.lit(0).cast("long").alias("region"), "key", "x", "hub", F.col("x").alias("root")), tag)
+    kept = materialize(kept.select(F.lit(0).cast("long").alias("region"), "key", "x", "hub", F.lit(True).alias("short"), F.col("x").alias("root")), tag)
     return materialize(_unlike(kept), tag)
 
 
 def _dealt_again(told: DataFrame, num: int, den: int) -> DataFrame:
-    """(region, key, x, hub, root): told (region, x, root, near, size, e) as cells by the rarest items of the differences.
+    """(region, key, x, hub, short, root): told (region, x, root, near, size, e) as cells by the rarest items of the differences.
 
-    need: how many items of its difference x shares at least with any partner that is not, like x, near the pivot. Items
-    that one member has alone count, but make no cell. Where nothing need be shared, a common cell takes x in.
+    need: how many items of its difference x shares at least with any partner that is not, like x, near the pivot;
+    need_short: the same for partners whose difference is no smaller. A pair's first common item is among the first
+    |e| - need + 1 of the larger difference and the first |e| - need_short + 1 of the smaller one, so a cell's members
+    meet only those that are there as the smaller partner (short). Items that one member has alone count, but make no
+    cell. Where nothing need be shared, a common cell takes x in.
     """
     far = told.where("not near").groupBy("region").agg(F.min(F.size("e")).alias("far"))
     r = f"floor({den - num} * size / {num})"
-    need = f"cast(ceil(if(near, far + size(e) - {r}, size(e) + greatest(0, size(e) - {r}) - {r}) / 2) as int)"
-    rows = told.join(far, "region").select("region", "x", "root", F.expr(need).alias("need"), "e")
-    any_ = rows.where("need <= 0").select("region", F.xxhash64("region").alias("key"), "x", "root", F.lit(0).cast("long").alias("hub"))
-    items = materialize(rows.select("region", "x", "root", "need", F.explode("e").alias("item")), "items")
+    half = lambda x: f"cast(ceil(({x} - {r}) / 2) as int)"
+    need = half(f"size(e) + if(near, far, greatest(0, size(e) - {r}))")
+    need_short = half("size(e) + if(near, greatest(far, size(e)), size(e))")
+    rows = told.join(far, "region").select("region", "x", "root", F.expr(need).alias("need"), F.expr(need_short).alias("need_short"), "e")
+    any_ = rows.where("need <= 0").select("region", F.xxhash64("region").alias("key"), "x", F.lit(0).cast("long").alias("hub"), F.expr("need_short <= 0").alias("short"), "root")
+    items = materialize(rows.select("region", "x", "root", "need", "need_short", F.explode("e").alias("item")), "items")
     full = items.groupBy("region", "item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     items = items.join(full, ["region", "item"])
     own = W.partitionBy("region", "x")
-    rarest = F.row_number().over(own.orderBy("n", "item"))
-    items = items.select("region", "x", "root", "need", "item", "n", rarest.alias("nth"), F.count(F.lit(1)).over(own).alias("met"))
+    nth = F.row_number().over(own.orderBy("n", "item"))
+    items = items.select("region", "x", "root", "need", "need_short", "item", "n", nth.alias("nth"), F.count(F.lit(1)).over(own).alias("met"))
+    # the items that x has alone come first: of |e| - need + 1 items, met - need + 1 are left to the others
     kept = items.where("need <= 0 or nth <= met - need + 1")
-    hub = F.sum("n").over(own)
-    return kept.select("region", F.xxhash64("region", "item").alias("key"), "x", "root", hub.alias("hub")).unionByName(any_)
+    short = F.expr("need_short <= 0 or nth <= met - need_short + 1")
+    cells = kept.select("region", F.xxhash64("region", "item").alias("key"), "x", F.sum("n").over(own).alias("hub"), short.alias("short"), "root")
+    return cells.unionByName(any_)
 
 
 def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -239,16 +245,15 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataF
     nodes = materialize(cells.select(F.col("x").alias("doc_id")).distinct(), tag)
     sets = materialize(sets_of(picked(docs, nodes), k), tag)
     found = []
-    leaf = LEAF
     while not cells.isEmpty():
-        hub = F.max(F.struct("hub", (-F.col("x")).alias("x"), "root")).alias("top")
+        hub = F.max(F.struct("short", "hub", (-F.col("x")).alias("x"), "root")).alias("top")
         pivots = cells.groupBy("region", "key").agg(hub, F.count(F.lit(1)).alias("n"))
         pivots = pivots.select("region", "key", "n", (-F.col("top.x")).alias("p"), F.col("top.root").alias("p_root"))
         members = cells.join(pivots, ["region", "key"])
-        around = members.where(f"n > {leaf} and x <> p").select(F.xxhash64("region", "p").alias("region"), F.lit(False).alias("leaf"), "p", "p_root", "x", "root")
-        small = members.where(f"n <= {leaf}").select("region", "key", "x", "root")
-        one, other = small, small.select("region", "key", F.col("x").alias("p"), F.col("root").alias("p_root"))
-        direct = one.join(other, ["region", "key"]).where("p < x and root <> p_root").select(F.lit(0).cast("long").alias("region"), F.lit(True).alias("leaf"), "p", "p_root", "x", "root")
+        around = members.where(f"n > {LEAF} and x <> p").select(F.xxhash64("region", "p").alias("region"), F.lit(False).alias("leaf"), "p", "p_root", "x", "root")
+        small = members.where(f"n <= {LEAF}").select("region", "key", "x", "short", "root")
+        one, other = small, small.select("region", "key", F.col("x").alias("p"), F.col("short").alias("p_short"), F.col("root").alias("p_root"))
+        direct = one.join(other, ["region", "key"]).where("p < x and root <> p_root and (short or p_short)").select(F.lit(0).cast("long").alias("region"), F.lit(True).alias("leaf"), "p", "p_root", "x", "root")
         told = materialize(measured(around.unionByName(direct).distinct(), sets, num, den), tag)
         found.append(materialize(told.where("near").select(F.col("p").alias("a"), F.col("x").alias("b")).distinct(), tag))
         merged = told.where("near").groupBy("x").agg(F.min("p_root").alias("into"))
@@ -257,7 +262,6 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataF
         old, cells = cells, materialize(_unlike(dealt), tag)
         for gone in (old, told, dealt):
             discard(gone)
-        leaf = min(2 * leaf, LARGEST_LEAF)
     if not found:
         return docs.sparkSession.createDataFrame([], "a long, b long")
     out = found[0]

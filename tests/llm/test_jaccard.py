@@ -23,7 +23,6 @@ def test_against_brute_force(spark, small, k, num, den):
 def test_dense_family(spark, monkeypatch):
     """Many near copies at all distances from a base: regions are divided several times."""
     monkeypatch.setattr(jaccard, "LEAF", 2)
-    monkeypatch.setattr(jaccard, "LARGEST_LEAF", 2)
     rng = random.Random(3)
     base = [f"w{k}" for k in range(100)]
     rows = []
