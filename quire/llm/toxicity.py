@@ -1,13 +1,13 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 A bounded sample of labelled documents (TRAIN_ROWS, by hash of the id, held-out fold never among them) is found by a
-broadcast join of its ids. Executors count in how many toxic and other documents each hashed n-gram occurs; the counts
-give the log-count ratio r of every bucket. The FEATURES buckets that tell the classes apart best stay; the sample's
-documents, as sets of those buckets, come to the driver (bounded by TRAIN_ROWS and FEATURES), and a logistic
+broadcast join of its ids; each distinct text counts once. Executors count in how many toxic and other texts each
+hashed n-gram occurs; the counts give the log-count ratio r of every bucket. The FEATURES buckets that tell the classes
+apart best (by z-score) stay, the others have no weight; the sample's texts, as sets of those buckets, come to the driver (bounded by TRAIN_ROWS and FEATURES), and a logistic
 regression is fitted on presence times r. Scoring reads each text once, with one table of weights.
 
 Edge cases: a null or empty text gets the score of a text without features; labels that are null, or of a null
-doc_id, are not learned; a doc_id labelled twice counts as toxic if one label says so; without labels of both kinds
+doc_id, are not learned; a doc_id labelled twice, or a text of several, counts as toxic if one label says so; without labels of both kinds
 every score is the share of toxic labels (0 without any); long texts are worked on in parts; repeated rows get the
 same score; an empty table gives no rows. Extra columns pass through score().
 """
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import materialize, small_batches, table, whole_text
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
 TRAIN_ROWS = 20_000
-FEATURES = 2048
+FEATURES = 4096
 SMOOTHING = 1.0
 THRESHOLD = 0.3
 PART = 1 << 19
@@ -135,7 +135,8 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: int = FEATURES) -> Model:
     small_batches(docs.sparkSession)
     chosen = training_sample(labels, rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    sample = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = materialize(sample.groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int32)
@@ -177,9 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: in
                 number, bucket = presence(texts[part], wanted)
                 place = np.searchsorted(buckets, bucket).astype(np.int16)
                 found += np.split(place, np.searchsorted(number, np.arange(1, part.stop - part.start)))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array([f.tobytes() for f in found], pa.binary())], ["doc_id", "toxic", "found"])
+            yield pa.record_batch([batch.column("toxic"), pa.array([f.tobytes() for f in found], pa.binary())], ["toxic", "found"])
 
-    rows_ = sample.mapInArrow(sets, "doc_id long, toxic int, found binary").toPandas().sort_values(["doc_id", "found"])
+    rows_ = sample.mapInArrow(sets, "toxic int, found binary").toPandas().sort_values(["found", "toxic"])
     found = [np.frombuffer(f, np.int16).astype(np.int64) for f in rows_.found]
     bias, w = logistic(found, rows_.toxic.to_numpy(float), r)
     return Model(bias, buckets, w * r)

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -36,3 +37,16 @@ def test_parts_do_not_change_a_score(monkeypatch):
     whole = model.scores([text, "x", text])
     monkeypatch.setattr(toxicity, "PART", 777)
     assert np.allclose(model.scores([text, "x", text]), whole) and whole[0] == whole[2]
+
+
+def test_copies_of_a_text_count_once(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}" for a in "bdgkm" for b in ("ar", "el", "io") for c in ("ton", "sel", "vik")]
+    text = lambda bad: " ".join(rng.choices(words, k=30) + ["vilething"] * bad)
+    rows = [(k, text(k % 3 == 0)) for k in range(200)]
+    labels = [(k, int(k % 3 == 0)) for k in range(200)]
+    fit = lambda docs, known: toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(known, "doc_id long, toxic int"), features=50)
+    kept = next(k for k in range(0, 200, 3) if zlib.crc32(b"%d" % k) % 4 != 2)
+    copies = [(1000 + k, rows[kept][1]) for k in range(300)]
+    one, many = fit(rows, labels), fit(rows + copies, labels + [(k, 1) for k, _ in copies])
+    assert np.array_equal(one.buckets, many.buckets) and np.allclose(one.weights, many.weights)
