@@ -2,10 +2,10 @@
 
 Equal vectors are one node (with the k + 1 smallest ids as members; no result needs more). The graph starts from
 TREES sorted orders: the signs of random projections, read as a number, bring near vectors together, and each block of
-an order is compared within itself. Then ROUNDS joins: every node gathers its neighbours and its nearest reverse
+an order is compared within itself (equal signs are ordered by one more projection). Then ROUNDS joins: every node gathers its neighbours and its nearest reverse
 neighbours with their vectors, and introduces them to each other; a pair is passed on if one of the two is new to the
-node and if it beats what an end already holds. Each node keeps NEIGHBOURS edges. Vectors travel in half precision
-there; results are measured on the original ones in double precision.
+node and if it beats what an end already holds. Each node keeps NEIGHBOURS edges. Vectors travel centred and in single
+precision there, and distances are computed in double; every node that a walk meets is measured on the original vectors.
 
 A query walks the graph from its own node, if it is one, and from a fixed number of entry nodes: each step expands the
 EXPAND nearest nodes not expanded yet among its BEAM nearest, until none is left.
@@ -66,9 +66,18 @@ def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _halves(column: pa.Array) -> np.ndarray:
-    """Rows of a binary column of half-precision numbers as single precision."""
-    return np.stack([np.frombuffer(x, np.float16) for x in column.to_pylist()]).astype(np.float32)
+def _singles(column: pa.Array) -> np.ndarray:
+    """Rows of a binary column of single-precision numbers as double precision."""
+    return np.stack([np.frombuffer(x, np.float32) for x in column.to_pylist()]).astype(np.float64)
+
+
+def _squares(x: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs of rows, infinite on the diagonal."""
+    x = x - x.mean(0)
+    sq = (x * x).sum(1)
+    dist = np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0)
+    np.fill_diagonal(dist, np.inf)
+    return dist
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -89,7 +98,7 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 class Sketch:
-    """Half-precision vectors, scaled, and projection codes for sorted orders."""
+    """Single-precision vectors, centred and scaled, and projection codes for sorted orders."""
 
     def __init__(self, nodes: DataFrame, trees: int = TREES) -> None:
         top = nodes.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("top"), F.count(F.lit(1)).alias("n")).first()
@@ -100,20 +109,22 @@ class Sketch:
         self.trees = trees
 
     def of(self, rows: DataFrame) -> DataFrame:
-        """(node, h, codes) of rows (node, v)."""
+        """(node, h, codes, fine) of rows (node, v)."""
         centre, scale, bits, trees = self.centre, self.scale, self.bits, self.trees
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             planes = np.random.default_rng(11).normal(size=(trees, bits, len(centre)))
+            last = np.random.default_rng(12).normal(size=(trees, len(centre)))
             weigh = 1 << np.arange(bits, dtype=np.int64)[::-1]
             for batch in batches:
                 if batch.num_rows:
                     x = _matrix(batch.column("v"))
                     codes = np.stack([((x - centre) @ p.T > 0) @ weigh for p in planes], 1)
-                    h = (x * scale).astype(np.float16)
-                    yield pa.record_batch([batch.column("node"), pa.array([r.tobytes() for r in h], pa.binary()), pa.array(list(codes), pa.list_(pa.int64()))], ["node", "h", "codes"])
+                    fine = (x - centre) @ last.T
+                    h = ((x - centre) * scale).astype(np.float32)
+                    yield pa.record_batch([batch.column("node"), pa.array([r.tobytes() for r in h], pa.binary()), pa.array(list(codes), pa.list_(pa.int64())), pa.array(list(fine), pa.list_(pa.float64()))], ["node", "h", "codes", "fine"])
 
-        return rows.select("node", "v").mapInArrow(run, "node long, h binary, codes array<long>")
+        return rows.select("node", "v").mapInArrow(run, "node long, h binary, codes array<long>, fine array<double>")
 
 
 _EDGES = "u long, v long, d float"
@@ -127,24 +138,22 @@ def _edges(u: list, v: list, d: list) -> pa.RecordBatch:
 def first_graph(sketches: DataFrame, neighbours: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
     """(u, v, d): the nearest found within blocks of the sorted orders."""
     n = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sketches.select("node", "h", F.posexplode("codes").alias("tree", "code"))
-    rows = rows.repartitionByRange(n, "tree", "code", "node").sortWithinPartitions("tree", "code", "node")
+    rows = sketches.select("node", "h", F.posexplode(F.arrays_zip("codes", "fine")).alias("tree", "at"))
+    rows = rows.select("node", "h", "tree", F.col("at.codes").alias("code"), F.col("at.fine").alias("fine"))
+    rows = rows.repartitionByRange(n, "tree", "code", "fine", "node").sortWithinPartitions("tree", "code", "fine", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = batch.column("node").to_numpy(), None
             if not len(ids):
                 continue
-            x = _halves(batch.column("h"))
+            x = _singles(batch.column("h"))
             u, v, d = [], [], []
             for at in np.array_split(np.arange(len(ids)), max(1, round(len(ids) / block))):
                 k = min(FROM_BLOCK, neighbours, len(at) - 1)
                 if k < 1:
                     continue
-                part = x[at]
-                sq = (part * part).sum(1)
-                dist = sq[:, None] + sq[None, :] - 2 * part @ part.T
-                np.fill_diagonal(dist, np.inf)
+                dist = _squares(x[at])
                 near = np.argpartition(dist, k - 1, 1)[:, :k]
                 u.append(np.repeat(ids[at], k))
                 v.append(ids[at][near].ravel())
@@ -171,7 +180,7 @@ def introduce(sketches: DataFrame, graph: DataFrame, neighbours: int = NEIGHBOUR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, "u"):
             keys, ids, worst_ = (group.column(c).to_numpy() for c in ("u", "w", "worst"))
-            new, x = group.column("new").to_numpy().astype(bool), _halves(group.column("h"))
+            new, x = group.column("new").to_numpy().astype(bool), _singles(group.column("h"))
             u, v, d = [], [], []
             edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -179,11 +188,8 @@ def introduce(sketches: DataFrame, graph: DataFrame, neighbours: int = NEIGHBOUR
                 k = min(INTRODUCED, b - a - 1)
                 if k < 1 or not fresh.any():
                     continue
-                part = x[a:b]
-                sq = (part * part).sum(1)
-                dist = sq[:, None] + sq[None, :] - 2 * part @ part.T
+                dist = _squares(x[a:b])
                 dist[~(fresh[:, None] | fresh[None, :])] = np.inf
-                np.fill_diagonal(dist, np.inf)
                 near = np.argpartition(dist, k - 1, 1)[:, :k]
                 got = np.take_along_axis(dist, near, 1)
                 i, j = np.nonzero(got < worst_[a:b, None])
@@ -210,13 +216,13 @@ def build_graph(sketches: DataFrame, neighbours: int = NEIGHBOURS, rounds: int =
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, queries: DataFrame) -> DataFrame:
-    """pairs (query_id, node) plus d, the distance in half precision, by which the walk is steered."""
+    """pairs (query_id, node) plus d, the squared distance in single precision, by which the walk is steered."""
     full = pairs.join(sketches.select("node", "h"), "node").join(queries.select("query_id", F.col("h").alias("q")), "query_id").select("query_id", "node", "h", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = ((_halves(batch.column("h")) - _halves(batch.column("q"))) ** 2).sum(1)
+                d = ((_singles(batch.column("h")) - _singles(batch.column("q"))) ** 2).sum(1)
                 yield pa.record_batch([batch.column("query_id"), batch.column("node"), pa.array(d.astype(np.float32))], ["query_id", "node", "d"])
 
     return full.mapInArrow(run, "query_id long, node long, d float")
@@ -273,8 +279,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP, vec: str = "em
     asked = sketch.of(queries.select(F.col("query_id").alias("node"), "v")).select(F.col("node").alias("query_id"), "h")
     own = queries.join(nodes.select(F.col("node").alias("own"), "v"), "v", "left").select("query_id", "own")
     met = search(sketches, graph, materialize(asked.join(own, "query_id"), "asked"))
-    close = met.withColumn("_nth", F.row_number().over(W.partitionBy("query_id").orderBy("d", "node"))).where(F.col("_nth") <= 4 * (k + 1))
-    found = _measured(close.select("query_id", "node"), nodes, queries)
+    found = _measured(met.select("query_id", "node"), nodes, queries)
     near = found.withColumn("_nth", F.row_number().over(W.partitionBy("query_id").orderBy("score", "node"))).where(F.col("_nth") <= k + 1)
     each = near.join(nodes.select("node", "members"), "node").select("query_id", F.explode("members").alias("vec_id"), "score")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")

@@ -87,3 +87,19 @@ def test_few_rows(spark, tmp_path):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in mtree.op1_mtree(spark, str(tmp_path)).orderBy("rank").collect()] == [(0, 1, 2, 1024 * 1024), (0, 2, 1, 0)]
     assert [(r.rank, r.vec_id, r.score) for r in nndescent.op6_nn_descent(spark, str(tmp_path)).orderBy("rank").collect()] == [(1, 2, 0.0), (2, 1, math.sqrt(2))]
     random.seed(0)
+
+
+def test_nn_descent_tells_near_copies_apart(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=(900, 16)) + 3
+    table[::3] = table[0] + rng.normal(size=(300, 16)) * 1e-5
+    rows = {k: v.astype(np.float32).tolist() for k, v in enumerate(table)}
+    write = [(k, v, 1) for k, v in rows.items()]
+    spark.createDataFrame(write, KIND).repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got: dict = {}
+    for r in nndescent.op6_nn_descent(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = nearest(rows, [0, 300, 600], 10)  # the queries among the near copies
+    right = sum(len(got[q] & {i for _, i in want[q]}) for q in want)
+    print("recall among near copies", right / 30)
+    assert right >= 0.95 * 10 * len(want)
