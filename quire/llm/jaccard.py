@@ -266,6 +266,32 @@ def links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataF
     return out
 
 
+def all_links(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: every link between representatives. All pairs within a first cell are measured, whatever links
+    them already; near copies that are not equal make as many pairs as they have links."""
+    tag = "jaccard"
+    cells = candidates(docs, reps, k, num, den, tag)
+    nodes = materialize(cells.select(F.col("x").alias("doc_id")).distinct(), tag)
+    sets = materialize(sets_of(picked(docs, nodes), k), tag)
+    pairs = cells.join(cells.select("key", F.col("x").alias("p")), "key").where("p < x").select("p", "x").distinct()
+    return measured(pairs, sets, num, den).where("near").select(F.col("p").alias("a"), F.col("x").alias("b"))
+
+
+def join_links(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, class_id, n_links) for every row of docs: the smallest doc_id with the same set, and the
+    number of other rows within the threshold, copies included. Rows without words or doc_id have no links."""
+    rows = materialize(digests(docs, k), "digests")
+    reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size"))
+    reps = materialize(reps, "classes")
+    found = materialize(all_links(docs, reps, k, num, den), "links")
+    both = found.union(found.select("b", "a"))
+    others = both.join(reps.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))
+    named = reps.join(others, "node", "left").select("d1", "d2", F.col("n_shingles").alias("n"), "node", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    known = rows.doc_id.isNotNull() & (rows.n_shingles > 0)
+    out = rows.join(named, known & (rows.d1 == named.d1) & (rows.d2 == named.d2) & (rows.n_shingles == named.n), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+
+
 def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     rows = materialize(digests(docs, k), "digests")

@@ -51,3 +51,22 @@ def test_shingle_sets_sizes():
         assert [len(s) for s in shingle_sets(pa.array(texts), k)] == [len(shingles(t, k)) for t in texts]
     a, b = shingle_sets(pa.array(["p q R s", "x p q r s"]), 3)
     assert len(np.intersect1d(a, b)) == 2
+
+
+@pytest.mark.parametrize("num", [90, 80])
+def test_no_link_is_lost(spark, num):
+    """One base, many different near copies of it, and copies of some."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(120):
+        w = [f"w{i}" for i in range(90)]
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(90)] = f"e{rng.randint(0, 40)}"
+        rows.append((k, " ".join(w)))
+    rows += [(500 + k, rows[k][1].upper()) for k in range(9)] + [(900, None), (901, "alone in here")]
+    sets = {i: frozenset(shingles(t, 3)) for i, t in rows}
+    near = lambda a, b: bool(a) and len(a & b) * 100 >= num * len(a | b)
+    want = {i: (min([j for j in sets if sets[j] == s], default=i) if s else i, sum(near(s, o) for j, o in sets.items() if j != i)) for i, s in sets.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join_links(df, 3, num, 100).collect()} == want
+    assert sum(n for _, n in want.values()) > 2 * len(rows)
