@@ -1,8 +1,8 @@
 """Personal data by regular expressions, then by contexts learnt from what those found.
 
 Base entities come from four patterns (email, ip, card, phone) and are never given up. They are the seeds of a
-bootstrap: the word before an entity is a lexical pattern, a token that holds three digits or an @ is an instance, and the
-graph of patterns and instances is scored in turns. A pattern's confidence is the share of its instances' scores, with
+bootstrap: the word before an entity is a lexical pattern (Unicode letters, then white space or punctuation), the entity
+an instance, and so is a token that holds three digits or an @, with brackets and further groups of digits; the graph of patterns and instances is scored in turns. A pattern's confidence is the share of its instances' scores, with
 one doubtful instance added (so that rare patterns stay low); an instance's score is one minus the chance that all its
 patterns err. After ROUNDS turns, tokens that no base entity covers but that stand behind a pattern of MIN_CONFIDENCE
 or more, seen before MIN_SEEDS different seeds or more, are added as spans of kind `id`.
@@ -32,8 +32,15 @@ _HINT = {"email": "@", "phone": "+"}
 ROUNDS = 3
 MIN_CONFIDENCE = 0.8
 MIN_SEEDS = 5
-#: A token that may be an identifier, with the word and the single space before it.
-_CANDIDATE = r"(?<![^\s])[A-Za-z]{2,30}+:? (?=[A-Za-z#:/_.+-]{0,64}+[0-9@])[A-Za-z0-9@#:/_.+-]{6,64}+(?![^\s,;])"
+#: A word with what stands between it and an entity: white space of any kind, punctuation before and opening signs behind.
+_WORD = r"(?<![\p{L}\p{N}])\p{L}{2,30}+"
+_GROUP = r"(?:[(][A-Za-z0-9]{1,16}[)]|\[[A-Za-z0-9]{1,16}\])(?=[A-Za-z0-9-]| [0-9])"
+_GAP = rf"\p{{P}}{{0,3}}+[\s\p{{Z}}]{{1,8}}+(?:(?!{_GROUP})[(\[{{<\x22\x27\p{{Pi}}]){{0,3}}+"
+_SEED = rf"({_WORD})(?:{_GAP}|[:=(\[{{<\x22\x27]{{1,3}})$"
+#: A token that may be an identifier, with brackets and groups of digits behind single spaces, and the word before it.
+_TOKEN = rf"[A-Za-z0-9@#:/_.+-]|{_GROUP}"
+_CANDIDATE = rf"{_WORD}{_GAP}(?=[A-Za-z#:/_.+(\[-]*+[0-9@])(?:{_TOKEN})++(?: [(]?[0-9](?:[0-9./-]|[)](?= [0-9]))*+)*+(?=[\s\p{{Z}},;)\]}}>\x22\x27\p{{Pf}}]|$)"
+MIN_CHARS = 6
 
 
 def _scan(text: str, pattern: str, fields: str, item: str, keep: str = "true") -> Column:
@@ -88,16 +95,26 @@ def _spans(kind: str, order: int) -> str:
 def _candidates(text: str) -> Column:
     """Array of (start, end, context, value): tokens that may be identifiers, each with the word before it."""
     fields = "start:int,end:int,context:string,value:string"
-    item = "named_struct('start', @at + position(' ', x.hit), 'end', @at + length(x.hit), 'context', substring_index(x.hit, ' ', 1), 'value', substring(x.hit, position(' ', x.hit) + 1))"
-    got = _scan(text, _CANDIDATE, fields, item, "x.hit rlike '@|[0-9][^0-9]*[0-9][^0-9]*[0-9]'")
+    gap = rf"^\p{{L}}+{_GAP}".replace("\\", "\\\\")
+    value = f"regexp_replace(x.hit, '{gap}', '')"
+    item = f"named_struct('start', @at + length(x.hit) - length({value}), 'end', @at + length(x.hit), 'context', regexp_extract(x.hit, '^\\\\p{{L}}+', 0), 'value', {value})"
+    got = _scan(text, _CANDIDATE, fields, item, f"x.hit rlike '@|[0-9][^0-9]*[0-9][^0-9]*[0-9]' and length({value}) >= {MIN_CHARS}")
     return F.when(F.col(text).rlike("[0-9@]"), got).otherwise(F.expr(f"cast(array() as array<struct<{fields}>>)"))
 
 
+def _seeds(text: str) -> Column:
+    """Array of (context, value): every base span with the word before it, empty where none stands there."""
+    seed = _SEED.replace("\\", "\\\\")
+    before = f"substring({text}, greatest(1, x.start - 47), least(48, x.start))"
+    return F.expr(f"transform(concat({', '.join(KINDS)}), x -> named_struct('context', regexp_extract({before}, '{seed}', 1), 'value', x.value))")
+
+
 def pattern_graph(found: DataFrame) -> DataFrame:
-    """(pattern, instance, seed): distinct links between contexts and tokens; seed tells whether base entities cover the token."""
+    """(pattern, instance, seed): distinct links between contexts and base spans (seeds) or tokens that none covers."""
     links = found.select(F.explode("candidates").alias("c"), "base")
-    seed = F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))
-    links = links.select(lower_ascii(F.col("c.context")).alias("pattern"), F.xxhash64("c.value").alias("instance"), seed.alias("seed"))
+    links = links.where(~F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))).select("c.context", "c.value", F.lit(False).alias("seed"))
+    seeds = found.select(F.explode("seeds").alias("c")).select("c.context", "c.value", F.lit(True).alias("seed")).where("context <> ''")
+    links = links.unionByName(seeds).select(lower_ascii(F.col("context")).alias("pattern"), F.xxhash64("value").alias("instance"), "seed")
     return links.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
 
 
@@ -121,14 +138,14 @@ def extract(docs: DataFrame) -> DataFrame:
     """docs without text, with email, ip, card, phone (arrays of spans), base (sorted) and ids (sorted spans that contexts add)."""
     found = base_entities(docs)
     base = F.expr("array_sort(concat(" + ", ".join(_spans(k, i) for i, k in enumerate(KINDS)) + "))")
-    found = found.withColumns({"base": base, "candidates": _candidates("text")}).drop("text")
+    found = found.withColumns({"base": base, "candidates": _candidates("text"), "seeds": _seeds("text")}).drop("text")
     found = materialize(found.withColumn("_row", F.monotonically_increasing_id()), "found")
     trusted = trusted_patterns(materialize(pattern_graph(found), "graph"))
     new = found.select("_row", "base", F.explode("candidates").alias("c")).select("_row", "base", "c", lower_ascii(F.col("c.context")).alias("pattern"))
     new = new.where(~F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))).join(trusted, "pattern", "left_semi")
     said = F.concat(F.lit("id:"), F.col("c.start"), F.lit(":"), F.col("c.end"))
     new = new.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(F.col("c.start").alias("start"), F.lit(len(KINDS)).alias("k"), said.alias("said"), F.col("c.end").alias("end")))).alias("ids"))
-    return found.join(new, "_row", "left").drop("_row", "candidates")
+    return found.join(new, "_row", "left").drop("_row", "candidates", "seeds")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,3 +35,15 @@ def test_contexts_find_new_identifiers(spark, tmp_path):
     assert got[100].spans == "id:14:25" and got[100].n_id == 1
     assert rows[12][1][14:25] == "ZX-99812-77"
     assert got[101].spans == "" and got[101].n_id == 0
+
+
+def test_every_base_entity_is_a_seed(spark, tmp_path):
+    """Phones and cards with spaces, brackets, tabs, accents and quotes teach their contexts."""
+    rows = [(k, f"words Ph\u00f6ne\t+1 (017) 555-{7700 + k} end", None) for k in range(12)]
+    rows += [(20 + k, f'words Mailto: "user{k}@mail.com" end', None) for k in range(12)]
+    rows += [(100, "here Ph\u00f6ne  (017) 555-7713 end", None), (101, "here mailto: [ZX-99812-77] end", None), (102, "here Ph\u00f6ne " + "AB1" * 30 + " end", None)]
+    got = run(spark, rows, tmp_path)
+    said = lambda k, value: f"id:{rows[k][1].index(value)}:{rows[k][1].index(value) + len(value)}"
+    assert got[100].spans == said(24, "(017) 555-7713")
+    assert got[101].spans == said(25, "ZX-99812-77")
+    assert got[102].spans == said(26, "AB1" * 30)
