@@ -27,7 +27,7 @@ from .shared import materialize, small_batches, table, whole_text
 ORDERS = (3, 4, 5, 6)
 BITS = 20
 TRAIN_ROWS = 20_000
-FEATURES = 4096
+FEATURES = 2048
 SMOOTHING = 1.0
 THRESHOLD = 0.3
 PART = 1 << 19
