@@ -4,12 +4,13 @@ Each document's distinct long lines become 128-bit hashes. A first sum by hash a
 line that a third of all documents hold; its partial rows are then range-partitioned by hash, sorted by hash,
 document and position, and streamed: the first row of a hash carries the place that keeps the line. Only lines found
 in enough documents go on. Decisions come back as one run-length bitmap per document (kept, dropped, kept, ... run
-lengths over its lines), and a text is cut by its bitmap where it lies.
+lengths over its lines), and a text is cut by its bitmap: where it lies, the bitmaps being broadcast, as long as their
+counted bytes are few; beyond that, texts and bitmaps meet by a shuffle.
 
 Edge cases: a null or empty text is one empty line; lines shorter than MIN_CHARS code points (after stripping) never
 go; a line within one document alone never goes, however often it repeats there; a null doc_id counts as no document
-and its lines are kept; rows that share a doc_id count as one document, and each is cut by its own lines; an empty
-table gives no rows. Extra columns pass through dedup_lines().
+and its lines are kept; rows that share a doc_id count as one document, and each is cut by its own lines (they are told
+apart by a hash of the text); an empty table gives no rows. Extra columns, one named `runs` too, pass through dedup_lines().
 """
 
 from __future__ import annotations
@@ -26,19 +27,27 @@ MIN_DOCS = 5
 SALT = 64
 #: Repeated lines up to this many (24 bytes each) are broadcast; more go through a shuffled join.
 BROADCAST_ROWS = 500_000
+#: Bitmaps of up to so many bytes in all (8 a run and 24 a row) are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def line_key(line: Column) -> Column:
     return lower_ascii(F.trim(line, F.lit(ASCII_SPACE)))
 
 
+def text_mark(text: Column) -> Column:
+    """Tells rows that share a doc_id apart by their text."""
+    return F.xxhash64(text)
+
+
 def long_line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
-    """(doc_id, pos, h1, h2) of every line whose stripped form has min_chars code points or more."""
-    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split(whole_text(text), "\n", -1)).alias("pos", "line"))
-    lines = lines.where(F.length("line") >= min_chars).select("doc_id", "pos", F.trim("line", F.lit(ASCII_SPACE)).alias("line"))
+    """(doc_id, mark, pos, h1, h2) of every line whose stripped form has min_chars code points or more; mark is that of the row's text."""
+    whole = docs.where(F.col("doc_id").isNotNull()).select("doc_id", whole_text(text).alias("text"))
+    lines = whole.select("doc_id", text_mark(F.col("text")).alias("mark"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = lines.where(F.length("line") >= min_chars).select("doc_id", "mark", "pos", F.trim("line", F.lit(ASCII_SPACE)).alias("line"))
     key = lower_ascii(F.col("line"))
     lines = lines.where(F.length("line") >= min_chars)
-    return lines.select("doc_id", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), F.reverse(key)).alias("h2"))
+    return lines.select("doc_id", "mark", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), F.reverse(key)).alias("h2"))
 
 
 def repeated_lines(hashes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -54,24 +63,24 @@ def repeated_lines(hashes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, pos, h1, h2) of the lines to drop. Rows that share a doc_id share the list; the hash tells whose line it is."""
+    """(doc_id, mark, pos) of the lines to drop, of each row by its own text."""
     hashes = materialize(long_line_hashes(docs, min_chars), "lines")
     repeats = materialize(repeated_lines(hashes, min_docs), "repeats")
     small = repeats.count() <= BROADCAST_ROWS
     found = hashes.join(F.broadcast(repeats) if small else repeats, ["h1", "h2"])
-    return found.where(F.col("doc_id") != F.col("keep_doc")).select("doc_id", "pos")
+    return found.where(F.col("doc_id") != F.col("keep_doc")).select("doc_id", "mark", "pos")
 
 
 def bitmaps(dropped: DataFrame) -> DataFrame:
-    """(doc_id, runs): run lengths, kept lines first, up to the last dropped line; what follows is kept.
+    """(doc_id, mark, runs): run lengths, kept lines first, up to the last dropped line; what follows is kept.
 
-    One row a document; a document's positions are at most its lines, so a row is no larger than the text it is about.
+    One row a document with drops; a document's positions are at most its lines, so a row is no larger than the text it is about.
     """
-    at = dropped.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    at = dropped.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     edge = "filter(transform(at, (p, i) -> struct(p, i > 0 and at[i - 1] = p - 1 as open, i < size(at) - 1 and at[i + 1] = p + 1 as goes)), x -> not (x.open and x.goes))"
     ends = f"flatten(transform({edge}, x -> if(x.open, array(x.p + 1), if(x.goes, array(x.p), array(x.p, x.p + 1)))))"
-    cuts = at.select("doc_id", F.expr(ends).alias("cuts"))
-    return cuts.select("doc_id", F.expr("transform(cuts, (c, i) -> if(i = 0, c, c - cuts[i - 1]))").alias("runs"))
+    cuts = at.select("doc_id", "mark", F.expr(ends).alias("cuts"))
+    return cuts.select("doc_id", "mark", F.expr("transform(cuts, (c, i) -> if(i = 0, c, c - cuts[i - 1]))").alias("runs"))
 
 
 def kept_text(text: Column, runs: Column) -> Column:
@@ -83,14 +92,20 @@ def kept_text(text: Column, runs: Column) -> Column:
     return F.when(runs.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
 
 
-def with_bitmaps(docs: DataFrame, **how) -> DataFrame:
-    """docs with runs (null: every line stays)."""
-    return docs.drop("runs").join(bitmaps(dropped_lines(docs, **how)), "doc_id", "left")
+def with_bitmaps(docs: DataFrame, into: str = "runs", **how) -> DataFrame:
+    """docs with one more column, the bitmap of each row (null: every line stays)."""
+    found = materialize(bitmaps(dropped_lines(docs, **how)), "bitmaps")
+    held = found.agg((F.count(F.lit(1)) * 24 + F.coalesce(F.sum(F.size("runs")), F.lit(0)) * 8).alias("bytes")).first().bytes
+    found = found.select(F.col("doc_id").alias("_doc"), "mark", F.col("runs").alias(into))
+    found = F.broadcast(found) if held <= BROADCAST_BYTES else found
+    on = (docs["doc_id"] == F.col("_doc")) & (text_mark(whole_text(docs["text"])) == F.col("mark"))
+    return docs.join(found, on, "left").select(*(docs[c] for c in docs.columns), into)
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """docs with the repeated lines cut from text; all other columns as they were."""
-    cut = with_bitmaps(docs, **how).withColumn("text", kept_text(F.col("text"), F.col("runs")))
+    into = next(n for n in map("_runs{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    cut = with_bitmaps(docs, into, **how).withColumn("text", kept_text(F.col("text"), F.col(into)))
     return cut.select(*docs.columns)
 
 

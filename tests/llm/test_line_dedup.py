@@ -22,3 +22,15 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(k, "\n".join([line, "z"] * 20_000)) for k in range(5)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
     assert got[0] == "\n".join(["z"] * 20_000) and got[4].count(line) == 20_000
+
+
+def test_rows_that_share_a_doc_id(spark, monkeypatch):
+    """Each row is cut by its own lines, whether bitmaps are broadcast or shuffled; a column `runs` stays."""
+    line = "A line of more than forty code points that many share"
+    rows = [(k, f"{line}\nmine {k}", 70 + k) for k in range(6)] + [(0, "alpha row\nprecious unique line that must stay, whatever comes\nomega", 77), (0, f"x\n{line}", 78), (0, f"x\n{line}", 78)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, runs int")
+    want = sorted([(k, f"mine {k}", 70 + k) for k in range(5)] + [rows[5], rows[6], (0, "x", 78), (0, "x", 78)])
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs).collect())) == want
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs).collect())) == want
