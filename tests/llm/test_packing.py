@@ -11,7 +11,6 @@ from quire.llm import packing
 def check(rows, texts):
     """Every piece is there, with its ids, and sequences are gapless and full enough."""
     own = Tokenizer.from_file(packing.vocabulary_path())
-    own.encode_special_tokens = True
     want = []
     for doc, text in texts:
         ids = np.array([*own.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -38,11 +37,18 @@ def test_query(spark, small):
 
 
 def test_odd_texts(spark, tmp_path):
-    texts = [None, "", "a", "a", "<|endoftext|> x", " " * 5000, "é🙂日本 " * 3000, "a" * 9000, "\n\t   x y", "don't I'll  WE'VE 12345"]
+    texts = [None, "", "a", "a", "<|endoftext|> x", "a<|endoftext|><|endoftext|>b <|end", " " * 5000, "é🙂日本 " * 3000, "a" * 9000, "\n\t   x y", "don't I'll  WE'VE 12345"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     check(packing.pack_documents(docs).collect(), list(enumerate(texts)))
 
 
+def test_full_pieces_alone_and_none(spark):
+    docs = spark.createDataFrame([(1, "a b " * 1023 + "a"), (2, "a b " * 1023 + "a")], "doc_id long, text string")
+    got = packing.pack_documents(docs).collect()
+    assert [r.length for r in got] == [2048, 2048] and len({r.sequence_id for r in got}) == 2 and {r.offset for r in got} == {0}
+    assert packing.pack_documents(docs.limit(0)).collect() == []
+
+
 def test_cuts():
     assert list(packing.cuts(1)) == [(0, 1)] and list(packing.cuts(2048)) == [(0, 2048)]
     assert list(packing.cuts(2049)) == [(0, 1), (1, 2048)] and list(packing.cuts(5000)) == [(0, 904), (904, 2048), (2952, 2048)]
@@ -66,7 +72,6 @@ def test_plan_uses_the_histogram_up():
 def test_fast_and_file_tokenizer_agree():
     encode = packing.tokenizer(packing.vocabulary_path())
     own = Tokenizer.from_file(packing.vocabulary_path())
-    own.encode_special_tokens = True
     rng = random.Random(4)
     signs = list("ab Zé9'\n\t .,;-_🙂日  \x1c\x00 ")
     for _ in range(500):
