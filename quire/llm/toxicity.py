@@ -2,14 +2,15 @@
 
 A bounded sample of labelled documents (TRAIN_ROWS, by hash of the id, held-out fold never among them) is found by a
 broadcast join of its ids; each distinct text counts once. Executors count in how many toxic and other texts each
-hashed n-gram occurs; the counts give the log-count ratio r of every bucket. The FEATURES buckets that tell the classes
-apart best (by z-score) stay, the others have no weight; the sample's texts, as sets of those buckets, come to the driver (bounded by TRAIN_ROWS and FEATURES), and a logistic
-regression is fitted on presence times r. Scoring reads each text once, with one table of weights.
+hashed n-gram occurs; the counts give the log-count ratio r of every bucket. Every bucket whose shares in the two classes
+differ significantly stays, however many there are: a z-score of MIN_Z, at which chance alone would bring in about one
+of the 2^20 buckets. The sample's texts, as sets of those buckets, come to the driver (bounded by TRAIN_ROWS and the
+number of buckets), and a logistic regression is fitted on presence times r. Scoring reads each text once, with one table of weights.
 
 Edge cases: a null or empty text gets the score of a text without features; labels that are null, or of a null
 doc_id, are not learned; a doc_id labelled twice, or a text of several, counts as toxic if one label says so; without labels of both kinds
 every score is the share of toxic labels (0 without any); long texts are worked on in parts; repeated rows get the
-same score; an empty table gives no rows. Extra columns pass through score().
+same score; an empty table gives no rows. Extra columns pass through score(), which takes the name of its own column.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .shared import materialize, small_batches, table, whole_text
 ORDERS = (3, 4, 5, 6)
 BITS = 20
 TRAIN_ROWS = 20_000
-FEATURES = 2048
+MIN_Z = 5.0
 SMOOTHING = 1.0
 THRESHOLD = 0.3
 PART = 1 << 19
@@ -132,7 +133,7 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, min_z: float = MIN_Z) -> Model:
     small_batches(docs.sparkSession)
     chosen = training_sample(labels, rows)
     sample = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -155,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: in
         yield pa.record_batch([pa.array([-1], pa.int32()), pa.array(n[:1]), pa.array(n[1:])], ["bucket", "other", "toxic"])
 
     counts = sample.mapInArrow(count, "bucket int, other long, toxic long").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    counts = materialize(counts, "counts")
     totals = counts.where("bucket = -1").first()
     if totals is None or not totals.other or not totals.toxic:
         share = totals.toxic / max(1, totals.toxic + totals.other) if totals else 0.0
@@ -164,8 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: in
     p, q = F.col("toxic") / n1, F.col("other") / n0
     pooled = (F.col("toxic") + F.col("other") + 1) / (n0 + n1 + 2)
     z = F.abs(p - q) / F.sqrt(pooled * (1 - F.least(pooled, F.lit(1 - 1e-9))) * (1 / n0 + 1 / n1))
-    best = counts.where("bucket >= 0").orderBy(F.desc(z), "bucket").limit(features).toPandas()
-    best = best.sort_values("bucket")
+    best = counts.where("bucket >= 0").where(z >= min_z).toPandas().sort_values("bucket")  # at most 2^20 rows
     r = np.log((best.toxic + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((best.other + SMOOTHING) / (n0 + 2 * SMOOTHING))
     buckets, r = best.bucket.to_numpy(np.int64), r.to_numpy(float)
     wanted = np.zeros(1 << BITS, bool)
@@ -176,36 +177,50 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: in
             texts, found = _texts(batch), []
             for part in _groups(texts):
                 number, bucket = presence(texts[part], wanted)
-                place = np.searchsorted(buckets, bucket).astype(np.int16)
+                place = np.searchsorted(buckets, bucket).astype(np.int32)
                 found += np.split(place, np.searchsorted(number, np.arange(1, part.stop - part.start)))
             yield pa.record_batch([batch.column("toxic"), pa.array([f.tobytes() for f in found], pa.binary())], ["toxic", "found"])
 
     rows_ = sample.mapInArrow(sets, "toxic int, found binary").toPandas().sort_values(["found", "toxic"])
-    found = [np.frombuffer(f, np.int16).astype(np.int64) for f in rows_.found]
+    found = [np.frombuffer(f, np.int32) for f in rows_.found]
     bias, w = logistic(found, rows_.toxic.to_numpy(float), r)
     return Model(bias, buckets, w * r)
 
 
+#: Pairs of text and feature worked on at once while fitting.
+CHUNK = 1 << 21
+
+
 def logistic(found: list[np.ndarray], y: np.ndarray, r: np.ndarray, penalty: float = 1e-6, steps: int = 600) -> tuple[float, np.ndarray]:
     """Bias and weights of a ridge-penalised logistic regression on sets of features, each worth r (accelerated gradient)."""
-    row = np.repeat(np.arange(len(y)), [len(f) for f in found])
-    col = np.concatenate(found) if found else np.zeros(0, np.int64)
+    ends = np.cumsum([0, *map(len, found)])
+    cut = [0]
+    while cut[-1] < len(found):  # texts of about CHUNK pairs, one at least
+        cut.append(max(cut[-1] + 1, int(np.searchsorted(ends, ends[cut[-1]] + CHUNK, "right")) - 1))
+    parts = [(a, b, np.repeat(np.arange(b - a, dtype=np.int32), np.diff(ends[a : b + 1])), np.concatenate(found[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     scale = np.abs(r).max() or 1.0
     r = r / scale
-    value = r[col]
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        w = w * r
+        return np.concatenate([np.bincount(row, w[col], b - a) for a, b, row, col in parts])
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(col, u[a:b][row], len(r)) for a, b, row, col in parts) * r
+
     # a bound on the curvature by power iteration
     v = np.ones(len(r))
+    norm = 1.0
     for _ in range(20):
-        u = np.bincount(col, np.bincount(row, value * v[col], len(y))[row] * value, len(r))
+        u = back(forward(v))
         norm = np.linalg.norm(u) or 1.0
         v = u / norm
     step = 1 / (0.3 * norm / len(y) + 0.3 + penalty)
     w = prev = np.zeros(len(r) + 1)
     for k in range(steps):
         look = w + k / (k + 3) * (w - prev)
-        z = look[-1] + np.bincount(row, value * look[:-1][col], len(y))
-        miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        grad = np.append(np.bincount(col, value * miss[row], len(r)) / len(y) + penalty * look[:-1], miss.mean())
+        miss = 1 / (1 + np.exp(-np.clip(look[-1] + forward(look[:-1]), -500, 500))) - y
+        grad = np.append(back(miss) / len(y) + penalty * look[:-1], miss.mean())
         prev, w = w, look - step * grad
     return float(w[-1]), w[:-1] / scale
 
@@ -214,7 +229,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs plus score; one pass, no shuffle."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # FEATURES weights
+    shared = spark.sparkContext.broadcast(model)  # at most 2^20 weights
     keep = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
