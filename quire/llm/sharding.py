@@ -1,11 +1,14 @@
 """Sharding by fixed virtual slots: hash records to slots, weigh the slots, keep a versioned slot-to-shard map.
 
-A record's slot never changes. Only the map from slots to shards is edited, when shards are added or loads drift,
-so that a rebalancing moves the slots it must and no others. The map has one row a slot (SLOTS of them), whatever
-the number of records; its size is the bound behind every broadcast and every single-row step here.
-
-Edge cases: a null text has no bytes (its size is the 8 bytes of the record), a null doc_id is spread by its text,
-repeated rows share a slot, an empty table gives no rows. Extra columns are ignored by the queries and kept by
+A record's slot follows from its text, so that equal texts lie in one slot and so in one shard. Only a group of equal
+texts with more bytes than GROUP of a shard's even share is split: its rows go to slots by doc_id too. At most
+SHARDS / GROUP groups can be so large; they are found by a sum before the shuffle and kept with the map as its list of split texts. Only the map
+from slots to shards is edited, when shards are added or loads drift, so that a rebalancing moves the slots it must and
+no others. The map has one row a slot (SLOTS of them), whatever the number of records; its size is the bound behind
+every broadcast and every single-row step here. Maps are stored by version; a stored version is never written again.
+
+Edge cases: a null text has no bytes (its size is the 8 bytes of the record), a null doc_id counts as none,
+repeated rows share a slot, an empty table gives no rows; very long texts are only hashed. Extra columns are ignored by the queries and kept by
 assign(), whose own column names win over clashing ones.
 """
 
@@ -15,23 +18,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import materialize, table, whole_text
+from .shared import materialize, table, table_path, whole_text
 
 SLOTS = 8192
 SHARDS = 24
+#: Groups of equal texts with more bytes than this part of a shard's even share are split.
+GROUP = 0.1
 
 
-def with_slots(records: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Add virtual_slot, size (UTF-8 bytes of the text plus 8) and text_crc32."""
+def measured(records: DataFrame) -> DataFrame:
+    """Add size (UTF-8 bytes of the text plus 8), text_crc32 and text_mark, a hash of the text."""
     text = whole_text()
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id"))
-    return records.withColumns(
-        {
-            "virtual_slot": F.pmod(key, F.lit(slots)).cast("int"),
-            "size": F.octet_length(text).cast("long") + 8,
-            "text_crc32": F.crc32(text.cast("binary")),
-        }
-    )
+    return records.withColumns({"size": F.octet_length(text).cast("long") + 8, "text_crc32": F.crc32(text.cast("binary")), "text_mark": F.xxhash64(text)})
+
+
+def split_texts(records: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(text_mark) of the groups of equal texts over GROUP of a shard's share, at most shards / GROUP of them; records as from measured()."""
+    groups = records.groupBy("text_mark").agg(F.sum("size").alias("held"))
+    total = records.agg(F.sum("size").alias("s")).first().s or 0  # one number
+    return groups.where(F.col("held") > total * GROUP / shards).select("text_mark")
+
+
+def with_slots(records: DataFrame, slots: int = SLOTS, split: DataFrame | None = None) -> DataFrame:
+    """Add virtual_slot, size and text_crc32. split: the text_marks whose rows are spread by doc_id, bounded as split_texts() says."""
+    rows = records if "text_mark" in records.columns else measured(records)
+    mark = F.col("text_mark")
+    key = mark
+    if split is not None:
+        rows = rows.join(F.broadcast(split.select(mark.alias("_split"))), mark == F.col("_split"), "left")
+        key = F.when(F.col("_split").isNull(), mark).otherwise(F.xxhash64(mark, "doc_id"))
+    return rows.withColumn("virtual_slot", F.pmod(key, F.lit(slots)).cast("int")).drop("_split", "text_mark")
 
 
 def slot_loads(slotted: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -91,8 +107,9 @@ def rebalance(slot_map: DataFrame, loads: DataFrame) -> DataFrame:
 
 
 def save_map(slot_map: DataFrame, folder: str) -> None:
-    """Add this version to the stored maps; an existing version is never overwritten."""
-    slot_map.write.mode("append").partitionBy("version").parquet(folder)
+    """Store this version of the map. Fails if that version is stored already: a map in use is never written again."""
+    version = slot_map.agg(F.max("version").alias("v")).first().v
+    slot_map.drop("version").write.mode("error").parquet(f"{folder}/version={version}")
 
 
 def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
@@ -118,11 +135,13 @@ def assign(slotted: DataFrame, slot_map: DataFrame, loads: DataFrame) -> DataFra
 
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `bytes`: sizes of the 24 shards near equal. More columns: virtual_slot, version."""
-    records = with_slots(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    records = materialize(records, "slots")
+    records = materialize(measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "measured")
+    split = materialize(split_texts(records), "split")
+    records = materialize(with_slots(records, split=split), "slots")
     loads = materialize(slot_loads(records), "loads")
-    slot_map = materialize(initial_map(loads), "slotmap")
-    out = assign(records, slot_map, loads)
+    folder = table_path(spark, "slotmaps")
+    save_map(initial_map(loads), folder)
+    out = assign(records, load_map(spark, folder, 1), loads)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.col("virtual_slot").cast("long").alias("virtual_slot"), F.lit(1).alias("version"),

@@ -1,5 +1,6 @@
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import sharding
@@ -20,6 +21,7 @@ def test_query(spark, small):
 
 def loads_of(spark, n=3000):
     rows = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"))
+    rows = sharding.measured(rows).withColumn("text_mark", F.xxhash64("doc_id"))  # as if all texts differed
     slotted = sharding.with_slots(rows, 512)
     return slotted, sharding.slot_loads(slotted, 512)
 
@@ -53,3 +55,38 @@ def test_odd_rows(spark):
     loads = sharding.slot_loads(slotted)
     got = sharding.assign(slotted, sharding.initial_map(loads), loads).collect()
     assert sorted(r["size"] for r in got) == [8, 9, 10, 10]
+
+
+def test_equal_texts_share_a_shard(spark, tmp_path):
+    """Groups of equal texts stay together; the one that is too large for that is split, and shards stay even."""
+    texts = [f"text {k} " + "x" * (k % 50) for k in range(6000)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(6000 + k, texts[k % 40]) for k in range(400)] + [(10_000 + k, "the same text everywhere") for k in range(4000)] + [(20_000, "é" * 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op4_virtual_slots(spark, str(tmp_path)).collect()
+    where, size = {}, {}
+    for r in got:
+        where.setdefault(r.text_crc32, set()).add(r.shard)
+        size[r.shard] = size.get(r.shard, 0) + r.size
+    assert len(where.pop(zlib.crc32(b"the same text everywhere"))) == 24 and all(len(w) == 1 for w in where.values())
+    assert len(size) == 24 and max(size.values()) <= 1.1 * min(size.values())
+
+
+def test_a_version_is_stored_once(spark, tmp_path):
+    first = sharding.initial_map(loads_of(spark)[1], 4)
+    sharding.save_map(first, str(tmp_path / "maps"))
+    with pytest.raises(Exception, match="exist"):
+        sharding.save_map(first, str(tmp_path / "maps"))
+    assert sharding.load_map(spark, str(tmp_path / "maps")).count() == 512
+
+
+def test_slots_against_plain_greedy(spark, small):
+    """The map is that of a plain greedy run over the slots' bytes, and each row's shard is its slot's."""
+    got = sharding.op4_virtual_slots(spark, small[0]).collect()
+    held = dict.fromkeys(range(sharding.SLOTS), 0)
+    for r in got:
+        held[r.virtual_slot] += r["size"]
+    loads, to = [0] * 24, {}
+    for bytes_, slot in sorted(((b, s) for s, b in held.items()), reverse=True):
+        to[slot] = loads.index(min(loads))
+        loads[to[slot]] += bytes_
+    assert all(r.shard == to[r.virtual_slot] for r in got)
