@@ -4,16 +4,17 @@ Documents are sets of word shingles. 1 - Jaccard is a metric, and so is the size
 within the threshold differ in at most r shingles, r growing with the smaller size. The join goes down in levels:
 
 1. Equal sets fall together by a 128-bit digest; one node stands for each class of them.
-2. Regions of the subspaces. Sizes form bands (distance to the empty set, a first pivot), and a document near the edge
+2. Most documents are far from everything. A shingle that no other node has is lone, and the share of its lone
+   shingles bounds a document's distance to all others from below. A first pass counts lone shingles within a fixed part of the hash
+   space (SAMPLE times as large as the share of shingles that may be lone), so that it counts a bound of the bound; what
+   remains is counted again on whole sets, twice. For each shingle the smallest and the largest node are summed up;
+   where they are equal it is lone. No shingle, however common, is ever gathered or joined with itself.
+   Regions of the subspaces. Sizes form bands (distance to the empty set, a first pivot), and a document near the edge
    of a band is also placed in the band below: the window that the triangle inequality asks for. In a band, the
-   shingles' hashes are dealt into m segments. Distances add up over segments, so of m segments at least m - r are
+   shingles' hashes are dealt into m segments, m about twice r. Distances add up over segments, so of m segments at least m - r are
    at distance 0: the two documents lie in the Voronoi cell of the same segment content, m - r times. Pivots that were
    sampled documents cannot serve here: nearly all documents are at distance exactly 1 from any of them, every window
-   would take in every region.
-   A first, coarse pass (m = r + FIRST) drops all documents that share fewer than m - r cells with others: nearly all. It
-   sums up, for each cell, the smallest and the largest node; where they are equal the cell is that node's alone, and a
-   node's lone cells are counted. No cell, however full, is ever gathered or joined with itself.
-   The rest is dealt again into finer segments (m about twice r). Cells are ordered by their size, and of its
+   would take in every region. Cells are ordered by their size, and of its
    cells a document leaves the m - r - 1 fullest: two documents that agree on m - r cells still meet in one.
 3. Inside a cell, the pivot is the member that shares most cells with others, a hub; cells with one pivot make one
    region around it. Here, among documents that share content, distances to documents tell something:
@@ -51,8 +52,9 @@ from pyspark.sql import Window as W
 from .shared import components, discard, materialize, small_batches, table
 from .words import mix, shingle_sets
 
-#: Cells beyond r that a set has in the first pass, and the same for the second as a multiple of r.
-FIRST = 3
+#: The first pass counts among so many times the shingles that may be lone.
+SAMPLE = 1.6
+#: Segments beyond r, as a multiple of r.
 SECOND = 1.2
 #: Regions of at most so many members, with at most so many shingles (8 bytes each), are joined within one task.
 LEAF = 4096
@@ -94,14 +96,14 @@ class Bands:
         return out
 
 
-def cell_keys(found: np.ndarray, bands: Bands, fine: bool) -> list[tuple[int, np.ndarray]]:
+def cell_keys(found: np.ndarray, bands: Bands) -> list[tuple[int, np.ndarray]]:
     """For each band of a set: (how many of its fullest cells it may still leave, keys of its cells).
 
     Empty segments count as the fullest cells of all and are left first.
     """
     out = []
     for band, r in bands.of(len(found)):
-        m = r + (FIRST if not fine else 2 + int(np.ceil(SECOND * r)))
+        m = r + 2 + int(np.ceil(SECOND * r))
         segment = ((found >> _U(32)) % _U(m)).astype(np.int64)
         content = np.zeros(m, _U)
         with np.errstate(over="ignore"):
@@ -136,32 +138,19 @@ def _digest(found: np.ndarray) -> tuple[int, int]:
         return int(mix(found).sum(dtype=_U).view(np.int64)), int(mix(found ^ _U(0x2545F4914F6CDD1D)).sum(dtype=_U).view(np.int64))
 
 
-_CELLS = "cells array<long>, ends array<int>, leave array<int>"
-
-
-def _cell_columns(sets: list[np.ndarray], bands: Bands, fine: bool) -> list[pa.Array]:
-    """All cells of each set, band after band, where each band's end, and how many of its fullest each band may leave."""
-    cells, ends, leave = [], [], []
-    for found in sets:
-        keys = cell_keys(found, bands, fine)
-        cells.append(np.concatenate([np.zeros(0, _U), *(k for _, k in keys)]).view(np.int64))
-        ends.append(np.cumsum([len(k) for _, k in keys]).astype(np.int32))
-        leave.append(np.array([left for left, _ in keys], np.int32))
-    none = np.zeros(0, np.int32)
-    return [_lists(cells), _lists(ends, none), _lists(leave, none)]
-
-
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, cells, ends, leave): size, digest and coarse cells of each document's set. Texts are read once."""
+    """(doc_id, n_shingles, d1, d2, items): size and digest of each document's set, and its shingles in a fixed part of the hash space. Texts are read once."""
     small_batches(docs.sparkSession)
+    part = _U(min(1 << 20, int(SAMPLE * (den - num) / den * (1 << 20)) + 1))
 
     def columns(batch: pa.RecordBatch) -> list:
         sets = list(shingle_sets(batch.column("text"), k))
         d = [_digest(s) for s in sets]
         sizes = pa.array(np.array([len(s) for s in sets], np.int64))
-        return [batch.column("doc_id"), sizes, *(pa.array([x[i] for x in d], pa.int64()) for i in (0, 1)), *_cell_columns(sets, Bands(num, den), False)]
+        some = [s[(s >> _U(24)) % _U(1 << 20) < part].view(np.int64) for s in sets]
+        return [batch.column("doc_id"), sizes, *(pa.array([x[i] for x in d], pa.int64()) for i in (0, 1)), _lists(some)]
 
-    kinds = f"doc_id long, n_shingles long, d1 long, d2 long, {_CELLS}"
+    kinds = "doc_id long, n_shingles long, d1 long, d2 long, items array<long>"
     return docs.select("doc_id", "text").mapInArrow(_by_batch(columns, kinds), kinds)
 
 
@@ -190,18 +179,16 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def crowded(cells: DataFrame) -> DataFrame:
-    """(node): the rows of cells (node, cells, ends, leave) that, in one of their bands, share more than `leave` cells with other nodes.
+def crowded(items: DataFrame, num: int, den: int) -> DataFrame:
+    """(node): those of items (node, n, items) of whose n shingles no more are lone than a partner within the threshold may lack.
 
-    One shuffle of (key, smallest node, largest node), summed before it; a full cell is one row from each task.
+    One shuffle of (item, smallest node, largest node), summed before it; a common item is one row from each task.
     """
-    each = cells.select("node", "ends", F.posexplode("cells").alias("at", "key"))
-    each = each.select("node", F.when(F.col("at") < F.col("ends")[0], 0).otherwise(1).alias("band"), "key")
-    own = each.groupBy("key").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.min("band").alias("band")).where("node = other")
-    lone = own.groupBy("node").agg(*(F.count_if(F.col("band") == b).alias(f"lone{b}") for b in (0, 1)))
-    met = "transform(ends, (e, i) -> e - if(i = 0, 0, ends[i - 1]) - coalesce(if(i = 0, lone0, lone1), 0) > leave[i])"
-    alive = cells.select("node", "ends", "leave").join(lone, "node", "left").where(F.expr(f"exists({met}, m -> m)"))
-    return alive.select("node").distinct()
+    each = items.select("node", F.explode("items").alias("item"))
+    lone = each.groupBy("item").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    lone = lone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    far = lone.join(items.select("node", "n"), "node").where(F.col("lone") * den > (den - num) * F.col("n"))
+    return items.select("node").join(far.select("node"), "node", "left_anti").distinct()
 
 
 def sets_of(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
@@ -219,21 +206,28 @@ def sets_of(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
     return found.groupBy("node").agg(F.first("items").alias("items"))  # a row may be there twice
 
 
-def fine_cells(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, cells, ends, leave) of sets (node, items)."""
+def cells_of(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, cells, ends, leave) of sets (node, items): all cells, band after band, where each band's end, and how many of its fullest each may leave."""
     small_batches(sets.sparkSession)
+    none = np.zeros(0, np.int32)
 
     def columns(batch: pa.RecordBatch) -> list:
-        items = batch.column("items")
-        flat, ends = items.values.to_numpy().view(_U), items.offsets.to_numpy()
-        return [batch.column("node"), *_cell_columns([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], Bands(num, den), True)]
-
-    kinds = f"node long, {_CELLS}"
+        items, bands = batch.column("items"), Bands(num, den)
+        flat, at = items.values.to_numpy().view(_U), items.offsets.to_numpy()
+        cells, ends, leave = [], [], []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            keys = cell_keys(flat[a:b], bands)
+            cells.append(np.concatenate([np.zeros(0, _U), *(k for _, k in keys)]).view(np.int64))
+            ends.append(np.cumsum([len(k) for _, k in keys]).astype(np.int32))
+            leave.append(np.array([left for left, _ in keys], np.int32))
+        return [batch.column("node"), _lists(cells), _lists(ends, none), _lists(leave, none)]
+
+    kinds = "node long, cells array<long>, ends array<int>, leave array<int>"
     return sets.mapInArrow(_by_batch(columns, kinds), kinds)
 
 
 def first_cells(cells: DataFrame) -> DataFrame:
-    """(key, x, hub): the cells of cells (node, cells, ends, leave) in which two may meet; each document leaves its fullest."""
+    """(key, x, hub): the cells of cells, as from cells_of(), in which two may meet; each document leaves its fullest."""
     each = cells.select(F.col("node").alias("x"), "ends", "leave", F.posexplode("cells").alias("at", "key"))
     band = F.when(F.col("at") < F.col("ends")[0], 0).otherwise(1)
     each = each.select("x", band.alias("band"), F.col("leave")[band].alias("leave"), "key")
@@ -258,12 +252,14 @@ def regions_of(cells: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: int, den: int, tag: str = "jaccard") -> tuple[DataFrame, DataFrame]:
     """(cells, sets): the first cells (region, key, x, hub, root) and the sets of the nodes in them."""
     named = reps.select("node", F.col("doc").alias("doc_id"), "d1", "d2")
-    coarse = rows.join(_few(named), ["doc_id", "d1", "d2"]).select("node", "cells", "ends", "leave")
-    alive = materialize(crowded(coarse), tag)
+    some = rows.join(_few(named), ["doc_id", "d1", "d2"]).select("node", F.col("n_shingles").alias("n"), "items")
+    alive = materialize(crowded(some, num, den), tag)
     sets = materialize(sets_of(docs, reps.join(_few(alive), "node"), k), tag)
-    fine = materialize(fine_cells(sets, num, den), tag)
-    still = materialize(crowded(fine), tag)
-    kept = first_cells(fine.join(_few(still), "node"))
+    for _ in range(2):
+        whole = sets.select("node", F.size("items").alias("n"), "items")
+        old, sets = sets, materialize(sets.join(_few(crowded(whole, num, den)), "node", "left_semi"), tag)
+        discard(old)
+    kept = first_cells(materialize(cells_of(sets, num, den), tag))
     cells = kept.select(F.lit(0).cast("long").alias("region"), "key", "x", "hub", F.col("x").alias("root"))
     return materialize(cells, tag), sets
 
