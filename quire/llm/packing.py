@@ -72,7 +72,7 @@ def tokenizer(path: str):
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        trial = "It's a trial, n'est-ce pas?  \n\n\tÄpfel 日本 1234   🙂 <|endoftext|>x"
+        trial = "It's a trial, n'est-ce pas?  \n\n\tÄpfel 日本 1234   🙂 <|x|> x"
         if fast.encode_ordinary(trial) != slow(trial):
             return slow
     except (ImportError, KeyError, ValueError):
