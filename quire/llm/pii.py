@@ -2,9 +2,10 @@
 
 Base entities come from four patterns (email, ip, card, phone) and are never given up. They are the seeds of a
 bootstrap: the word before an entity is a lexical pattern (Unicode letters, then white space or punctuation), the entity
-an instance, and so is a token that holds three digits or an @, with brackets and further groups of digits; the graph of patterns and instances is scored in turns. A pattern's confidence is the share of its instances' scores, with
-one doubtful instance added (so that rare patterns stay low); an instance's score is one minus the chance that all its
-patterns err. After ROUNDS turns, tokens that no base entity covers but that stand behind a pattern of MIN_CONFIDENCE
+an instance, and so is a token that holds three digits or an @, with brackets and further groups of digits; the graph of patterns and instances is scored in turns. A pattern's confidence is the sum of its instances' scores, each
+as often as it stands there, over the number of times that the word occurs at all, whatever follows it, plus one: a word that mostly stands
+before something else (stop words do) stays low, however many entities it has met. An instance's score is one minus the chance that all its
+patterns err; what is learnt in one turn supports the patterns of the next, until no confidence grows by CHANGE any more. Then tokens that no base entity covers but that stand behind a pattern of MIN_CONFIDENCE
 or more, seen before MIN_SEEDS different seeds or more, are added as spans of kind `id`.
 
 Everything runs in SQL functions. Positions are code points: a text is split by a pattern and the lengths of the
@@ -29,11 +30,12 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _HINT = {"email": "@", "phone": "+"}
-ROUNDS = 3
+#: Scores only grow from turn to turn; below this growth of all confidences they stand.
+CHANGE = 0.005
 MIN_CONFIDENCE = 0.8
 MIN_SEEDS = 5
 #: A word with what stands between it and an entity: white space of any kind, punctuation before and opening signs behind.
-_WORD = r"(?<![\p{L}\p{N}])\p{L}{2,30}+"
+_WORD = r"(?<![\p{L}\p{N}])\p{L}{2,}+"
 _GROUP = r"(?:[(][A-Za-z0-9]{1,16}[)]|\[[A-Za-z0-9]{1,16}\])(?=[A-Za-z0-9-]| [0-9])"
 _GAP = rf"\p{{P}}{{0,3}}+[\s\p{{Z}}]{{1,8}}+(?:(?!{_GROUP})[(\[{{<\x22\x27\p{{Pi}}]){{0,3}}+"
 _SEED = rf"({_WORD})(?:{_GAP}|[:=(\[{{<\x22\x27]{{1,3}})$"
@@ -103,35 +105,49 @@ def _candidates(text: str) -> Column:
 
 
 def _seeds(text: str) -> Column:
-    """Array of (context, value): every base span with the word before it, empty where none stands there."""
+    """Array of (context, value): every base span with the word before it (within 1024 code points), empty where none stands there."""
     seed = _SEED.replace("\\", "\\\\")
-    before = f"substring({text}, greatest(1, x.start - 47), least(48, x.start))"
+    before = f"substring({text}, greatest(1, x.start - 1023), least(1024, x.start))"
     return F.expr(f"transform(concat({', '.join(KINDS)}), x -> named_struct('context', regexp_extract({before}, '{seed}', 1), 'value', x.value))")
 
 
 def pattern_graph(found: DataFrame) -> DataFrame:
-    """(pattern, instance, seed): distinct links between contexts and base spans (seeds) or tokens that none covers."""
+    """(pattern, instance, seed, times): links between contexts and base spans (seeds) or tokens that none covers, and how often each occurs."""
     links = found.select(F.explode("candidates").alias("c"), "base")
     links = links.where(~F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))).select("c.context", "c.value", F.lit(False).alias("seed"))
     seeds = found.select(F.explode("seeds").alias("c")).select("c.context", "c.value", F.lit(True).alias("seed")).where("context <> ''")
     links = links.unionByName(seeds).select(lower_ascii(F.col("context")).alias("pattern"), F.xxhash64("value").alias("instance"), "seed")
-    return links.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    return links.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times"))
 
 
-def trusted_patterns(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, confidence) of the patterns that pass, after the turns of scoring."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(pattern, total): how often each word occurs in all texts; summed before the shuffle."""
+    pattern = _WORD.replace("\\", "\\\\")
+    words = docs.select(F.explode(F.expr(f"regexp_extract_all(text, '{pattern}', 0)")).alias("word"))
+    return words.groupBy(lower_ascii(F.col("word")).alias("pattern")).agg(F.count(F.lit(1)).alias("total"))
+
+
+def trusted_patterns(graph: DataFrame, totals: DataFrame) -> DataFrame:
+    """(pattern, confidence) of the patterns that pass, once the scores stand.
+
+    Only patterns that would pass if all their instances were certain can ever pass; the others are left out of the turns.
+    """
+    sums = graph.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.sum("times").alias("met"))
+    possible = sums.where(F.col("seeds") >= MIN_SEEDS).join(totals, "pattern").where(F.col("met") >= MIN_CONFIDENCE * (F.col("total") + 1))
+    possible = materialize(possible.select("pattern", "total", F.lit(0.0).alias("confidence")), "possible")
+    graph = materialize(graph.join(possible.select("pattern", "total"), "pattern"), "graph")
     scores = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("seed"))
-    patterns = None
-    for _ in range(rounds):
+    patterns, growth = possible.select("pattern", "confidence"), 1.0
+    while growth >= CHANGE:
         scores = materialize(scores, "scores")
-        patterns = graph.join(scores.drop("seed"), "instance").groupBy("pattern").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count_if("seed").alias("seeds")
-        )
+        before = patterns.select("pattern", F.col("confidence").alias("before"))
+        patterns = graph.join(scores.drop("seed"), "instance").groupBy("pattern").agg((F.sum(F.col("score") * F.col("times")) / (F.first("total") + 1)).alias("confidence"))
         patterns = materialize(patterns, "patterns")
+        growth = patterns.join(before, "pattern").agg(F.max(F.col("confidence") - F.col("before")).alias("g")).first().g or 0.0
         wrong = F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))
         learnt = graph.join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(wrong))).alias("learnt"))
         scores = scores.join(learnt, "instance").select("instance", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("learnt")).alias("score"), "seed")
-    return patterns.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)).select("pattern", "confidence")
+    return patterns.where(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "confidence")
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -140,7 +156,7 @@ def extract(docs: DataFrame) -> DataFrame:
     base = F.expr("array_sort(concat(" + ", ".join(_spans(k, i) for i, k in enumerate(KINDS)) + "))")
     found = found.withColumns({"base": base, "candidates": _candidates("text"), "seeds": _seeds("text")}).drop("text")
     found = materialize(found.withColumn("_row", F.monotonically_increasing_id()), "found")
-    trusted = trusted_patterns(materialize(pattern_graph(found), "graph"))
+    trusted = trusted_patterns(materialize(pattern_graph(found), "graph"), word_counts(docs))
     new = found.select("_row", "base", F.explode("candidates").alias("c")).select("_row", "base", "c", lower_ascii(F.col("c.context")).alias("pattern"))
     new = new.where(~F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))).join(trusted, "pattern", "left_semi")
     said = F.concat(F.lit("id:"), F.col("c.start"), F.lit(":"), F.col("c.end"))

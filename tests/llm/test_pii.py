@@ -1,4 +1,8 @@
+import math
 import random
+from collections import Counter
+
+import regex
 
 from brute import pii as plain
 from brute import sha
@@ -47,3 +51,59 @@ def test_every_base_entity_is_a_seed(spark, tmp_path):
     assert got[100].spans == said(24, "(017) 555-7713")
     assert got[101].spans == said(25, "ZX-99812-77")
     assert got[102].spans == said(26, "AB1" * 30)
+
+
+def plain_ids(rows):
+    """Added spans by the same rules in plain Python."""
+    low = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    covered, links, totals, seen = {}, Counter(), Counter(), {}
+    for k, t in rows:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in plain(t)[1].split(",") if s]
+        covered[k] = spans
+        totals.update(low(m[0]) for m in regex.finditer(pii._WORD, t))
+        for a, b in spans:
+            m = regex.search(pii._SEED, t[max(0, a - 1024) : a])
+            if m:
+                links[low(m[1]), t[a:b], True] += 1
+        for m in regex.finditer(pii._CANDIDATE, t):
+            word = regex.match(r"\p{L}+", m[0])[0]
+            at = m.end() - len(regex.sub("^" + r"\p{L}+" + pii._GAP, "", m[0]))
+            value = t[at : m.end()]
+            if (regex.search("@", m[0]) or len(regex.findall("[0-9]", m[0])) >= 3) and len(value) >= pii.MIN_CHARS and not any(a < m.end() and b > at for a, b in spans):
+                links[low(word), value, False] += 1
+                seen.setdefault(k, []).append((low(word), at, m.end()))
+    certain = {v for _, v, s in links if s}
+    score, confidence = {v: float(v in certain) for _, v, _ in links}, Counter()
+    for _ in range(50):
+        confidence = Counter()
+        for (p, v, _), n in links.items():
+            confidence[p] += n * score[v] / (totals[p] + 1)
+        score = {v: 1.0 if v in certain else 1 - math.prod(1 - min(confidence[p], 0.999) for p, w, _ in links if w == v) for v in score}
+    seeds = Counter(p for p, _, s in links if s)
+    good = {p for p in confidence if confidence[p] >= pii.MIN_CONFIDENCE and seeds[p] >= pii.MIN_SEEDS}
+    return {k: [f"id:{a}:{b}" for p, a, b in found if p in good] for k, found in seen.items()}
+
+
+def test_added_spans_against_plain_version_and_decoys(spark, tmp_path):
+    """Words that mostly stand before something else teach nothing; planted identifiers behind real contexts are found."""
+    rng = random.Random(9)
+    noise = "the of and river stone cloud lamp paper".split()
+    rows = []
+    for k in range(240):
+        w = rng.choices(noise, k=30)
+        kind = k % 8
+        if kind < 3:
+            w[9:11] = [["mailbox", "contact:", "Hotline"][kind], [f"u{k}@mail.com", f"v{k}@mail.org", f"+1 (255) 555-{8000 + k}"][kind]]
+        elif kind == 3:
+            w[9:11] = [rng.choice(["mailbox", "contact:"]), f"KX-{k:05d}-B"]
+        elif kind == 4:
+            w[9:11] = ["the", f"w{k}@mail.com"]
+        elif kind == 5:
+            w[9:11] = ["the", f"{4587121519400000 + k}"]
+        rows.append((k, " ".join(w)))
+    spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, email string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("id:")] for r in pii.op3_pii(spark, str(tmp_path)).collect()}
+    want = plain_ids(rows)
+    assert all(got[k] == want.get(k, []) for k, _ in rows)
+    assert {k for k, _ in rows if got[k]} <= {k for k, _ in rows if k % 8 == 3}
+    assert sum(map(bool, got.values())) > 20
