@@ -85,7 +85,7 @@ def ocr_confidence(tsv: str | Column) -> Column:
     """Mean confidence in [0, 1] of the recognised words of a tab-separated OCR report (header row first); 0 without any."""
     rows = F.slice(F.split(_col(tsv), "\n"), 2, 1 << 30)
     cells = F.transform(rows, lambda r: F.split(r, "\t"))
-    words = F.filter(cells, lambda c: (F.size(c) > 11) & (F.length(F.trim(F.get(c, F.lit(11)))) > 0))
+    words = F.filter(cells, lambda c: (F.size(c) > 11) & F.get(c, F.lit(11)).rlike(f"[^{SPACE}]"))
     scores = F.filter(F.transform(words, lambda c: F.get(c, F.lit(10)).try_cast("float")), lambda x: x >= 0)
     mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(scores)
     return F.when(F.size(scores) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean / 100))).otherwise(F.lit(0.0)).cast("float")

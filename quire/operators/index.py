@@ -24,6 +24,7 @@ from ..model import CHUNKS, EXTRACTION_VERSION, FILES, PATHS, SCHEMA_VERSION, In
 from ..sources.dispatch import extract
 from ..sources.errors import ExtractError
 from ..sources.listing import listing
+from ..storage import materialize
 from . import detect
 from .chunk import chunk
 
@@ -151,9 +152,10 @@ class Index:
         except BaseException:
             shutil.rmtree(path, ignore_errors=True)
             raise
-        old = self.manifest.get("snapshot")
-        self._commit(self.manifest | settings | {"snapshot": name, "updated_at": _now()})
-        if old:
+        # the snapshot before stays for those who still read it, until the next commit
+        before, old = self.manifest.get("snapshot"), self.manifest.get("previous")
+        self._commit(self.manifest | settings | {"snapshot": name, "previous": before, "updated_at": _now()})
+        if old and old != before:
             shutil.rmtree(os.path.join(self.folder, old), ignore_errors=True)
 
     # --- staleness -----------------------------------------------------------------------------------------------
@@ -213,8 +215,8 @@ class Index:
         done = detect.actions(settled, self.table("paths"), self.table("files"), retry_failed, rebuild).persist()
         leaders = done.where("leader").select(F.col("hash").alias("doc"), F.concat(F.lit(self.root + "/"), "rel_path").alias("path"), basename("rel_path").alias("source"), "rel_path", "size", "mtime")
         n = self.spark.sparkContext.defaultParallelism * 4
-        found = extract(leaders.select("doc", "path", "source").repartition(n, "doc"), cfg.ocr, cfg.ocr_dpi).persist()
-        found.count()
+        # written, not cached: files that are read again after a lost executor might have changed since
+        found = materialize(extract(leaders.select("doc", "path", "source").repartition(n, "doc"), cfg.ocr, cfg.ocr_dpi), "extracted")
         if hook:
             hook()
         # what changed while it was read is not stored, neither is what links to it
@@ -283,6 +285,7 @@ class Index:
                 getattr(report, row.category).append(row.rel_path)
         for row in listed.where("problem is not null").select("rel_path", "problem").toLocalIterator():
             report.failed.append((row.rel_path, row.problem))
+        report.deleted.sort(key=os.fsencode)  # stored paths in flat order, files on disk in that of the walk
         return report
 
     def export_rows(self) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..model import ChunkConfig
 from ..operators import chunk as C
 from ..operators import detect, fts, runs
+from ..operators.ranking import ranked
 from . import blocks as B
 from . import chunk_sql as S
 
@@ -53,9 +54,9 @@ def _values(rows: list[tuple], names: str) -> str:
 # --- text functions ---------------------------------------------------------------------------------------------
 
 VECTORS = [
-    (1, "“quoted” and ‘single’"), (2, "en–dash em—dash minus−sign"), (3, "a … b"), (4, "  lots   of \t\t space \n\n here  "),
-    (5, "a\u00a0b"), (6, "a\x08b"), (7, ""), (8, "   \n\t "), (9, "café naïve Omega"), (10, "a\u2028b\u3000c"), (11, "x\x1cy"), (12, "a\u200bb"),
-    (13, "One. Two! Three?"), (14, "Pi is 3.14 exactly."), (15, 'He said "stop." Then he left.'), (16, "Café ouvert. Naïve approche! Fin?"), (17, "Wait... what?! (Yes.) ok"),
+    (1, "\u201eTee\u201d, \u201cwarm\u201d; the cook\u2019s \u2018own\u2019 blend"), (2, "7\u20139 p.m. \u2014 bring 3\u2212kg bags"), (3, "later\u2026 or never \u2026"), (4, "\r\n two\t\ttabs   and\n\n\n lines \t"),
+    (5, "20\u00a0km\u00a0\u00a0north"), (6, "bell\x07 and\x1b escape"), (7, ""), (8, "\t \r\n"), (9, "smörgåsbord Żubr ψ 東"), (10, "para\u2029graph\u2003wide\u3000ideographic"), (11, "rec\x1eord\x1funit"), (12, "zero\u200bwidth\u200djoin"),
+    (13, "Rain fell! Did it stop? It did."), (14, "Version 2.10.7 ships at 9.30 today."), (15, 'Ana asked, "why?" Nobody knew.'), (16, "Étude finie. ¡Ándale! Öl fehlt?"), (17, "Hm.... so?! [Fine.] next"),
 ]
 
 
@@ -347,10 +348,7 @@ def _paths_of(spark, sf_dir):
 
 @_query(_EXPORT + "SELECT rel_path, row_number() OVER (ORDER BY string_split(rel_path, '/')) AS place FROM pp")
 def q_export_order(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy().orderBy(T.path_order("rel_path"))
-    return _paths_of(spark, sf_dir).select("rel_path", F.row_number().over(order).cast("long").alias("place"))
+    return ranked(_paths_of(spark, sf_dir).select("rel_path"), T.path_order("rel_path"), "place")
 
 
 @_query(_EXPORT + "SELECT rel_path, string_split(rel_path, '/')[-1] AS source, id AS ordinal, text, hard_split FROM pp JOIN chunks USING (doc)")
@@ -363,9 +361,9 @@ def q_export_rows(spark, sf_dir):
 
 _HEAD = "\t".join(f"h{k}" for k in range(12))
 TSV = [
-    (1, "\n".join([_HEAD, "\t".join(["0"] * 10 + ["-1", ""]), "\t".join(["5"] * 10 + ["90", "foo"]), "\t".join(["5"] * 10 + ["70", "bar"])])),
+    (1, "\n".join([_HEAD, "\t".join(["2"] * 10 + ["-1", ""]), "\t".join(["7"] * 10 + ["64", "stone"]), "\t".join(["7"] * 10 + ["31", "bridge"]), "\t".join(["7"] * 10 + ["85", "1897"])])),
     (2, _HEAD),
-    (3, "\n".join([_HEAD, "\t".join(["5"] * 10 + ["abc", "x"]), "\t".join(["5"] * 10 + ["95.5", "word"]), "\t".join(["5"] * 10 + ["80", "  "])])),
+    (3, "\n".join([_HEAD, "\t".join(["7"] * 10 + ["n/a", "blur"]), "\t".join(["7"] * 10 + ["72.25", "clear"]), "\t".join(["7"] * 10 + ["99", " \u00a0"])])),
 ]
 
 
@@ -384,19 +382,21 @@ def q_ocr_low_confidence(spark, sf_dir):
     return _flat(chunks.where((F.col("origin") == "ocr") & (F.col("confidence") < F.lit(0.7).cast("float"))))
 
 
+#: Runs for each rule of merging: pieces of a word, a wide gap, a narrow one, two baselines, overlap, a raised run, spaces at
+#: the edges, upright runs, a step back, unlike heights, a blank run between two.
 RUNS = [
-    ("glyph", 1, 0, "fi", 10.0, 100.0, 16.0, 111.0), ("glyph", 1, 1, "eld", 16.3, 100.0, 30.0, 111.0),
-    ("gap", 1, 0, "hello", 10.0, 100.0, 40.0, 111.0), ("gap", 1, 1, "world", 42.8, 100.0, 70.0, 111.0),
-    ("comma", 1, 0, "2025", 10.0, 100.0, 30.0, 111.0), ("comma", 1, 1, ",", 30.31, 100.0, 33.0, 111.0),
-    ("lines", 1, 0, "one", 10.0, 100.0, 30.0, 111.0), ("lines", 1, 1, "two", 10.0, 86.0, 30.0, 97.0),
-    ("overlap", 1, 0, "ab", 10.0, 100.0, 20.0, 111.0), ("overlap", 1, 1, "cd", 19.5, 100.0, 30.0, 111.0),
-    ("solo", 1, 0, "solo", 10.0, 100.0, 30.0, 111.0),
-    ("box", 1, 0, "a", 10.0, 100.0, 20.0, 111.0), ("box", 1, 1, "b", 20.2, 101.0, 35.0, 112.0),
-    ("edge", 1, 0, "a ", 10.0, 100.0, 20.0, 111.0), ("edge", 1, 1, "b", 20.0, 100.0, 30.0, 111.0),
-    ("tall", 1, 0, "Application", 61.0, 114.0, 66.0, 147.0), ("tall", 1, 1, "Domain", 66.4, 114.0, 71.4, 147.0),
-    ("back", 1, 0, "right", 200.0, 100.0, 230.0, 111.0), ("back", 1, 1, "left", 10.0, 100.0, 40.0, 111.0),
-    ("small", 1, 0, "SUM", 100.0, 100.0, 120.0, 125.0), ("small", 1, 1, "and", 123.0, 106.0, 140.0, 117.5),
-    ("blank", 1, 0, "x", 10.0, 100.0, 20.0, 111.0), ("blank", 1, 1, "  ", 20.0, 300.0, 25.0, 311.0), ("blank", 1, 2, "y", 20.1, 100.0, 30.0, 111.0),
+    ("pieces", 1, 0, "off", 50.0, 400.0, 64.0, 412.0), ("pieces", 1, 1, "ice", 64.5, 400.0, 77.0, 412.0),
+    ("wide", 1, 0, "north", 50.0, 400.0, 82.0, 412.0), ("wide", 1, 1, "gate", 86.5, 400.0, 110.0, 412.0),
+    ("narrow", 1, 0, "1897", 50.0, 400.0, 76.0, 412.0), ("narrow", 1, 1, ";", 77.25, 400.0, 80.0, 412.0),
+    ("rows", 1, 0, "upper", 50.0, 400.0, 80.0, 412.0), ("rows", 1, 1, "lower", 50.0, 383.0, 80.0, 395.0),
+    ("cross", 1, 0, "ki", 50.0, 400.0, 63.0, 412.0), ("cross", 1, 1, "te", 61.75, 400.0, 72.0, 412.0),
+    ("alone", 1, 0, "margin", 50.0, 400.0, 88.0, 412.0),
+    ("raised", 1, 0, "m", 50.0, 400.0, 60.0, 412.0), ("raised", 1, 1, "2", 60.75, 403.0, 65.0, 415.0),
+    ("spaced", 1, 0, "iron ", 50.0, 400.0, 72.0, 412.0), ("spaced", 1, 1, "age", 72.0, 400.0, 90.0, 412.0),
+    ("upright", 1, 0, "Harbour", 30.0, 200.0, 37.0, 246.0), ("upright", 1, 1, "Street", 37.5, 200.0, 44.5, 240.0),
+    ("return", 1, 0, "second", 300.0, 400.0, 340.0, 412.0), ("return", 1, 1, "first", 50.0, 400.0, 78.0, 412.0),
+    ("sizes", 1, 0, "BIG", 50.0, 400.0, 95.0, 430.0), ("sizes", 1, 1, "tiny", 99.0, 408.0, 118.0, 421.0),
+    ("hollow", 1, 0, "p", 50.0, 400.0, 58.0, 412.0), ("hollow", 1, 1, " \t", 58.0, 90.0, 64.0, 102.0), ("hollow", 1, 2, "q", 58.25, 400.0, 66.0, 412.0),
 ]
 
 

@@ -68,8 +68,9 @@ def test_runs_forms_agree(spark):
         lines = merge([(r[3], *r[4:]) for r in RUNS if r[0] == doc])
         assert got[doc] == [(b["text"], tuple(round(v, 3) for v in b["bbox"].values())) for b in lines]
     texts = {d: [t for t, _ in v] for d, v in got.items()}
-    assert texts["glyph"] == ["field"] and texts["gap"] == ["hello world"] and texts["comma"] == ["2025,"] and texts["lines"] == ["one", "two"]
-    assert texts["tall"] == ["Application", "Domain"] and texts["back"] == ["right", "left"] and texts["small"] == ["SUM and"] and texts["blank"] == ["xy"]
+    assert texts["pieces"] == ["office"] and texts["wide"] == ["north gate"] and texts["narrow"] == ["1897;"] and texts["rows"] == ["upper", "lower"]
+    assert texts["upright"] == ["Harbour", "Street"] and texts["return"] == ["second", "first"] and texts["sizes"] == ["BIG tiny"] and texts["hollow"] == ["pq"]
+    assert texts["cross"] == ["kite"] and texts["raised"] == ["m2"] and texts["spaced"] == ["iron age"] and texts["alone"] == ["margin"]
 
 
 def test_image_headers():
