@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+All stages take null, empty and very long texts, repeated rows and empty tables; what each does with them is said below.
 """
 
 from __future__ import annotations
@@ -13,28 +14,43 @@ from quire.llm.shared import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold; the classifier is fitted on labelled ones among docs."""
+    """Documents that score under the threshold; the classifier is fitted on labelled ones among docs.
+
+    Null and empty texts score as texts without features and stay, repeated rows share their fate, an empty table stays empty.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).drop("score")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines that five documents or more hold stay in one of them; n_chars follows the text."""
+    """Long lines that five documents or more hold stay in one of them; n_chars follows the text.
+
+    Null texts stay null (n_chars too), empty ones empty; rows that share a doc_id are cut by their own lines; no row goes.
+    """
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles."""
+    """One document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles.
+
+    The smallest doc_id stays, of repeated rows one; texts without words and rows without a doc_id stay all.
+    """
     return jaccard.keep_one(docs, k=5, num=80, den=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them."""
+    """Documents as often as their source's target takes them.
+
+    A null source is a source; texts without words take nothing from a target; repeated rows are each taken for themselves.
+    """
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in sequences of at most 2048 tokens."""
+    """Pieces of documents with their place in sequences of at most 2048 tokens.
+
+    A null or empty text is one piece of the end token; repeated rows (the mix repeats documents) are packed each for itself.
+    """
     return packing.pack_documents(docs)
 
 
