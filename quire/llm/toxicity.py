@@ -31,7 +31,10 @@ TRAIN_ROWS = 20_000
 MIN_Z = 5.0
 SMOOTHING = 1.0
 THRESHOLD = 0.3
-PART = 1 << 19
+#: Characters worked on at once, so many that their n-grams stay in the processor's cache; results do not depend on it.
+PART = 1 << 15
+#: Bytes in a batch that a Python worker gets.
+BATCH = 2 << 20
 _U = np.uint64
 
 
@@ -134,7 +137,7 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, min_z: float = MIN_Z) -> Model:
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=BATCH)
     chosen = training_sample(labels, rows)
     sample = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = materialize(sample.groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
@@ -228,7 +231,7 @@ def logistic(found: list[np.ndarray], y: np.ndarray, r: np.ndarray, penalty: flo
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs plus score; one pass, no shuffle."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, size=BATCH)
     shared = spark.sparkContext.broadcast(model)  # at most 2^20 weights
     keep = [c for c in docs.columns if c != "score"]
 
