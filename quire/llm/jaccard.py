@@ -257,8 +257,10 @@ def candidates(docs: DataFrame, rows: DataFrame, reps: DataFrame, k: int, num: i
     sets = materialize(sets_of(docs, reps.join(_few(alive), "node"), k), tag)
     for _ in range(2):
         whole = sets.select("node", F.size("items").alias("n"), "items")
-        old, sets = sets, materialize(sets.join(_few(crowded(whole, num, den)), "node", "left_semi"), tag)
+        alive = materialize(crowded(whole, num, den), tag)  # counted and joined, so not to be worked out twice
+        old, sets = sets, materialize(sets.join(_few(alive), "node", "left_semi"), tag)
         discard(old)
+        discard(alive)
     kept = first_cells(materialize(cells_of(sets, num, den), tag))
     cells = kept.select(F.lit(0).cast("long").alias("region"), "key", "x", "hub", F.col("x").alias("root"))
     return materialize(cells, tag), sets
