@@ -14,8 +14,9 @@ All steps are joins on node or query keys; a task streams over the sorted groups
 batch. Every row of the table is a node; recall is measured against brute force in the tests and the README.
 
 Edge cases: vectors that are null, empty, all zero, or hold null or non-finite components take no part, neither does a
-null vec_id; vectors of another dimension than the most frequent one take no part and, as queries, get no rows; fewer candidates than k give fewer rows; ties go to the smaller vec_id; an empty
-table gives no rows. Extra columns are ignored.
+null vec_id; vectors are compared with those of the same dimension, each dimension that has queries has a graph of its
+own; fewer candidates than k give fewer rows; ties go to the smaller vec_id; an empty table gives no rows. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -52,11 +53,9 @@ def usable(vec: str = "embedding") -> Column:
     return F.col("vec_id").isNotNull() & F.col(vec).isNotNull() & ~bad & F.exists(vec, lambda x: x != 0)
 
 
-def nodes_of(vectors: DataFrame, k: int = TOP, vec: str = "embedding") -> DataFrame:
-    """(node, v, members): distinct vectors, the smallest vec_id naming each, members sorted."""
-    rows = vectors.where(usable(vec)).select("vec_id", F.transform(vec, lambda x: x.cast("double")).alias("v"))
-    size = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    rows = rows.where(F.size("v") == (size.dim if size else 0))
+def nodes_of(vectors: DataFrame, dim: int, k: int = TOP, vec: str = "embedding") -> DataFrame:
+    """(node, v, members): distinct vectors of a dimension, the smallest vec_id naming each, members sorted."""
+    rows = vectors.where(usable(vec) & (F.size(vec) == dim)).select("vec_id", F.transform(vec, lambda x: x.cast("double")).alias("v"))
     rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("_nth") <= k + 1)
     return rows.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("members")).select(F.col("members")[0].alias("node"), "v", "members")
 
@@ -128,6 +127,7 @@ class Sketch:
 
 
 _EDGES = "u long, v long, d float"
+_HITS = "query_id long, rank int, vec_id long, score double"
 
 
 def _edges(u: list, v: list, d: list) -> pa.RecordBatch:
@@ -270,10 +270,20 @@ def search(sketches: DataFrame, graph: DataFrame, queries: DataFrame, beam: int
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP, vec: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for queries (query_id, v array<double>)."""
-    nodes = materialize(nodes_of(vectors, k, vec), "nodes")
+    out = vectors.sparkSession.createDataFrame([], _HITS)
+    queries = queries.where("v is not null")
+    for dim in sorted(r.dim for r in queries.select(F.size("v").alias("dim")).distinct().collect()):  # one row a dimension
+        out = out.union(_within(vectors, queries.where(F.size("v") == dim), dim, k, vec))
+    return out
+
+
+def _within(vectors: DataFrame, queries: DataFrame, dim: int, k: int, vec: str) -> DataFrame:
+    """nearest() among the vectors of one dimension."""
+    nodes = materialize(nodes_of(vectors, dim, k, vec), "nodes")
+    if nodes.isEmpty():
+        return vectors.sparkSession.createDataFrame([], _HITS)
     small_batches(nodes.sparkSession, rows=BLOCK * 60, size=16 << 20)
     sketch = Sketch(nodes)
-    queries = queries.where(F.size("v") == len(sketch.centre))
     sketches = materialize(sketch.of(nodes), "sketches")
     graph = build_graph(sketches)
     asked = sketch.of(queries.select(F.col("query_id").alias("node"), "v")).select(F.col("node").alias("query_id"), "h")

@@ -103,3 +103,25 @@ def test_nn_descent_tells_near_copies_apart(spark, tmp_path):
     right = sum(len(got[q] & {i for _, i in want[q]}) for q in want)
     print("recall among near copies", right / 30)
     assert right >= 0.95 * 10 * len(want)
+
+
+def test_nn_descent_searches_every_dimension(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = {k: rng.normal(size=5 if k % 300 in (0, 1, 2) else 12).astype(np.float32).tolist() for k in range(600)}
+    rows |= {1000: [1.0, 2.0], 1001: rows[300], 1100: [3.0, 4.0, 5.0]}  # alone in their dimensions; a copy of a query
+    write = [(k, v, 1) for k, v in rows.items()]
+    spark.createDataFrame(write, KIND).repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got: dict = {}
+    for r in nndescent.op6_nn_descent(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((pytest.approx(r.score, abs=1e-12), r.vec_id))
+    for dim in (5, 12):
+        same = {k: v for k, v in rows.items() if len(v) == dim}
+        want = nearest(same, [k for k in same if k % 100 == 0], 10)
+        assert all(len(got[q]) == min(10, len(same) - 1) for q in want)
+        right = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
+        assert right >= 0.95 * sum(map(len, want.values()))
+    assert set(got) == {k for k in rows if k % 100 == 0} - {1000, 1100}
+    assert [i for _, i in got[0]] == [i for _, i in nearest({k: v for k, v in rows.items() if len(v) == 5}, [0], 10)[0]]
+    other = spark.createDataFrame([(7, [1.0] * 3), (8, None), (9, [1.0] * 4)], "query_id long, v array<double>")
+    table = spark.createDataFrame(write, KIND)
+    assert [(r.query_id, r.vec_id) for r in nndescent.nearest(table, other).collect()] == [(7, 1100)]  # nothing has four components
